@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import op6_bpe
+from quillon.llm import op1_packing, op6_bpe, op10_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing.query,
         "op6_bpe": op6_bpe.query,
+        "op10_wavelet": op10_wavelet.query,
     }
 
 
