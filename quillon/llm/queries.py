@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import op1_packing, op6_bpe, op10_wavelet
+from quillon.llm import op1_packing, op2_gif, op3_backoff, op6_bpe, op8_langid, op10_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing.query,
+        "op2_gif": op2_gif.query,
+        "op3_backoff": op3_backoff.query,
         "op6_bpe": op6_bpe.query,
+        "op8_langid": op8_langid.query,
         "op10_wavelet": op10_wavelet.query,
     }
 
