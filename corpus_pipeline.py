@@ -1,13 +1,69 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: five stages over documents, each one operator's decision.
+
+Every stage takes (spark, docs, sf_dir) and returns all documents it keeps, with the columns of documents;
+the last returns pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import op1_packing, op4_secrets, op7_minhash, op8_langid, op9_lines
+from quillon.llm.common import materialise
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose likeliest language is less sure than this is rejected.
+LEAST_SCORE = 0.5
+#: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
+def _with_text(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, without text or of no sure language go; lang becomes the predicted one."""
+    model = op8_langid.train(docs)
+    return op8_langid.label(docs, model).filter((F.col("lang_pred") != op8_langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go; so does a document all of whose lines did."""
+    cut = op9_lines.dedup(docs.select(*COLUMNS))
+    return _with_text(cut.filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines"))))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    gone = op7_minhash.near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Values that look live are masked; copied examples and all documents stay."""
+    return _with_text(op4_secrets.mask_live(docs.select(*COLUMNS)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the sequences, without their ids."""
+    return op1_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("minhash_dedup", dedup_documents),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is a Parquet table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import keep_columns, small_batches, table
 
@@ -98,6 +100,17 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return languages, np.hstack([logs, np.log(prior / prior.sum())[:, None]]).astype(np.float32)
 
 
+def classify(text: object, languages: list[str], logs_of: np.ndarray) -> tuple[str, float]:
+    """The likeliest language of a text and its posterior; logs_of: a row for each bucket, the prior last."""
+    hit = buckets(text) if isinstance(text, str) else ()
+    if not len(hit) or not languages:
+        return UNKNOWN, 0.0
+    kinds, n = np.unique(hit, return_counts=True) if len(hit) < BUCKETS else (np.arange(BUCKETS), np.bincount(hit, minlength=BUCKETS))
+    logs = (logs_of[kinds].astype(np.float64) * n[:, None]).sum(axis=0) + logs_of[BUCKETS]
+    k = int(logs.argmax())
+    return languages[k], float(1 / np.exp(logs - logs[k]).sum())
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the likeliest language and its posterior; `und` and 0 for a null text, one
     without a letter, or an empty model. Equal likelihoods: the first by name. Rows keep no order."""
@@ -106,26 +119,31 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     shared = spark.sparkContext.broadcast((model[0], np.ascontiguousarray(model[1].T)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages, table_ = shared.value
         for pdf in batches:
-            langs, scores = [], []
-            for text in pdf[text_col]:
-                hit = buckets(text) if isinstance(text, str) else ()
-                if not len(hit) or not languages:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                kinds, n = np.unique(hit, return_counts=True) if len(hit) < BUCKETS else (np.arange(BUCKETS), np.bincount(hit, minlength=BUCKETS))
-                logs = (table_[kinds].astype(np.float64) * n[:, None]).sum(axis=0) + table_[BUCKETS]
-                k = int(logs.argmax())
-                langs.append(languages[k])
-                scores.append(float(1 / np.exp(logs - logs[k]).sum()))
-            yield pd.DataFrame({id_col: pdf[id_col], "lang_pred": langs, "score": scores})
+            guess = [classify(t, *shared.value) for t in pdf[text_col]]
+            yield pd.DataFrame({id_col: pdf[id_col], "lang_pred": [g[0] for g in guess], "score": [g[1] for g in guess]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return keep_columns(docs, id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def label(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The documents with all their columns (one named lang_pred or lang_score is replaced) and lang_pred, lang_score."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast((model[0], np.ascontiguousarray(model[1].T)))
+    columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            guess = [classify(t, *shared.value) for t in batch.column(columns.index(text_col)).to_pylist()]
+            more = [pa.array([g[0] for g in guess], pa.string()), pa.array([g[1] for g in guess], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, "lang_pred", "lang_score"])
+
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return keep_columns(docs, *columns).mapInArrow(run, schema)
+
+
 def held_out(col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

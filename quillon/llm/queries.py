@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import op1_packing, op2_gif, op3_backoff, op4_secrets, op6_bpe, op8_langid, op9_lines, op10_wavelet
+from quillon.llm import op1_packing, op2_gif, op3_backoff, op4_secrets, op5_crosspolytope, op6_bpe, op7_minhash, op8_langid, op9_lines, op10_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_gif": op2_gif.query,
         "op3_backoff": op3_backoff.query,
         "op4_secrets": op4_secrets.query,
+        "op5_crosspolytope": op5_crosspolytope.query,
         "op6_bpe": op6_bpe.query,
+        "op7_minhash": op7_minhash.query,
         "op8_langid": op8_langid.query,
         "op9_lines": op9_lines.query,
         "op10_wavelet": op10_wavelet.query,
