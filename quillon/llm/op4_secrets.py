@@ -124,3 +124,37 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+_FOUND = """SELECT doc_id, source, {number} AS kind, '{name}' AS name, {least} AS least, regexp_extract_all(text, '{pattern}', 0) AS ms,
+  regexp_extract_all(text, '{pattern}', {group}) AS vs, string_split_regex(text, '{pattern}') AS gs FROM texts"""
+#: DuckDB's patterns have no look-around: hex runs are whole anyway, opaque ones are told by what they hold.
+_PLAIN = {"hex": r"[0-9a-f]{24,}", "opaque": r"[A-Za-z0-9+/_-]{24,}"}
+#: The same in DuckDB.
+ORACLE = (
+    "WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), found AS (\n"
+    + "\nUNION ALL\n".join(_FOUND.format(number=k, name=name, least=least, group=group, pattern=_PLAIN.get(name, pattern).replace("'", "''")) for k, (name, pattern, group, least, _) in enumerate(KINDS))
+    + """),
+each AS (
+  SELECT doc_id, source, kind, name, ms[i] AS m, vs[i] AS v, least,
+    coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found)
+),
+spans AS (
+  SELECT doc_id, source, kind, name, v, CAST(start AS BIGINT) AS start, CAST(start + length(m) AS BIGINT) AS stop FROM each
+  WHERE length(v) >= least AND (kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')))
+),
+owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n FROM spans GROUP BY v),
+told AS (SELECT s.*, o.n < """
+    + str(EXAMPLE_OWNERS)
+    + """ AS live, s.name || ':' || s.start || ':' || s.stop AS said FROM spans s JOIN owners o ON o.v = s.v),
+sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(said, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind) FILTER (WHERE kind < 3 OR live) AS spans,
+    count(*) FILTER (WHERE live) AS n_live FROM told GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM texts t LEFT JOIN sums ON sums.doc_id = t.doc_id
+"""
+)

@@ -237,8 +237,10 @@ def _digest(spans):
     return hashlib.sha256(",".join(f"{n}:{a}:{b}" for n, a, b in spans).encode()).hexdigest()
 
 
-def test_secrets(spark, frame):
-    got = op4_secrets.query(spark, DATA).toPandas().set_index("doc_id")
+def test_secrets(spark, frame, duck):
+    found = op4_secrets.query(spark, DATA)
+    assert_same(found, duck.sql(op4_secrets.ORACLE))
+    got = found.toPandas().set_index("doc_id")
     for i, text in frame.text.items():
         assert got.loc[i].base_sha256 == _digest(_spans(text))
 
