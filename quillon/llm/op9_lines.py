@@ -2,10 +2,10 @@
 
 A line's tokens are its runs of five words (a shorter line: the whole of it). Two lines match if the
 Jaccard similarity of their token sets is at least 0.8; a line goes if an earlier one matches it, by
-(doc_id, line number). Lines with one text are one set. Tokens are ordered by rarity (counts in a fixed
-number of hash buckets), then hash. Two matching sets share a token of their prefixes, so only prefix
-tokens that several sets hold lead further; those lines are joined on the token, under length and
-positional filters, and verified on the whole sets. It is a semi join: a line is settled by its first
+(doc_id, line number). Lines with one text are one set. Tokens are ordered by rarity (the corpus's count of
+the middle word, in a fixed number of hash buckets), then hash. Two matching sets share a token of their
+prefixes. Lines whose longer prefix holds enough tokens of several sets are joined on the tokens of their
+prefix, under length and positional filters, and verified on the whole sets. It is a semi join: a line is settled by its first
 match, and pairs are never put out.
 """
 
@@ -34,52 +34,53 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return text.select("doc_id", "line_no", F.trim("line", F.lit(_EDGE)).alias("norm")).filter("norm <> ''")
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL that evaluates `value` once for `body`, however often the name occurs there."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
-def _tokens(rows: DataFrame, rarity: str | None = None) -> DataFrame:
-    """Adds `toks`: hashes of the line's five-word runs; with a rarity table, distinct and in its order."""
-    more = ", ".join(f"w[i + {k}]" for k in range(1, WORDS))
-    runs = f"CASE WHEN size(w) <= {WORDS} THEN array(xxhash64(w)) ELSE transform(slice(w, 1, size(w) - {WORDS - 1}), (x, i) -> xxhash64(x, {more})) END"
-    toks = _let(f"transform(split(norm, r'{_GAP}', -1), x -> xxhash64(x))", "w", runs)
-    if rarity is not None:
-        low = (1 << _BITS) - 1
-        table_ = f"from_json('{rarity}', 'array<int>')"
-        toks = f"sort_array(array_distinct(transform({toks}, h -> shiftleft(cast(element_at({table_}, cast(shiftrightunsigned(h, 48) as int) + 1) as bigint), {_BITS}) | (h & {low}L))))"
-    return rows.withColumn("toks", F.expr(toks))
+def _words(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns named and `w`, the line's words; single spaces alone, the common case, need no pattern."""
+    odd = " OR ".join(f"instr(norm, '{c}') > 0" for c in ("  ", *_EDGE[1:]))
+    return rows.select(*keep, F.expr(f"CASE WHEN {odd} THEN split(norm, r'{_GAP}', -1) ELSE split(norm, ' ', -1) END").alias("w"))
 
 
 def _rarity(sets: DataFrame) -> str:
-    """Log-scaled counts of all tokens by the top 16 bits of their hash: 65,536 numbers whatever the corpus holds."""
-    counts = _tokens(sets).select(F.explode("toks").alias("h")).groupBy(F.expr("cast(shiftrightunsigned(h, 48) as int)").alias("b")).count().collect()
+    """Log-scaled counts of all words by 16 bits of their hash: 65,536 numbers whatever the corpus holds."""
+    counts = _words(sets).select(F.explode("w").alias("x")).groupBy(F.expr("cast(shiftrightunsigned(xxhash64(x), 48) as int)").alias("b")).count().collect()
     table_ = [0] * BUCKETS
     for r in counts:
         table_[r["b"]] = min(1023, int(16 * math.log2(r["count"] + 1)))
     return "[" + ",".join(map(str, table_)) + "]"
 
 
+def _tokens(rows: DataFrame, rarity: str, *keep: str) -> DataFrame:
+    """The columns named and `toks`: the line's distinct runs of five words in order: the rarity of the middle
+    word above, the hash of the run below. A shorter line is one run."""
+    run = ", ".join(f"get(w, i + {k})" for k in range(WORDS))
+    middle = f"cast(shiftrightunsigned(xxhash64(get(w, i + {WORDS // 2})), 48) as int)"
+    token = f"shiftleft(cast(get(from_json('{rarity}', 'array<int>'), {middle}) as bigint), {_BITS}) | (xxhash64({run}) & {(1 << _BITS) - 1}L)"
+    return _words(rows, *keep).select(*keep, F.expr(f"sort_array(array_distinct(transform(sequence(0, greatest(size(w) - {WORDS}, 0)), i -> {token})))").alias("toks"))
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no) of every line with words that has no earlier match."""
     hashed = lines(docs, id_col, text_col).withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(1)))
     sets = materialise(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("norm").alias("norm")), "lines")
     rarity = _rarity(sets)
-    # Tokens in a prefix: one more than may be missing from a match.
-    prefix = f"slice(toks, 1, size(toks) - (({NUMERATOR} * size(toks) + {DENOMINATOR - 1}) div {DENOMINATOR}) + 1)"
-    posted = _tokens(sets.select("h1", "norm"), rarity).select("h1", F.explode(F.expr(prefix)).alias("tok"))
+    # A match holds at least `most` of a line's n tokens, so n - most + 1 of them are its prefix. Of twice as
+    # many, all but n - most must be in several sets: lines that only share a passage drop out here.
+    n = "size(toks)"
+    most = f"(({NUMERATOR} * {{n}} + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    prefix = f"({{n}} - {most} + 1)"
+    posted = _tokens(sets, rarity, "h1").select("h1", F.expr(f"{n} AS n"), F.explode(F.expr(f"slice(toks, 1, 2 * cast({prefix.format(n=n)} as int))")).alias("tok"))
     run = Window.partitionBy("tok").orderBy("h1")
-    shared = posted.select("tok", "h1", F.lag("h1").over(run).alias("a"), F.lead("h1").over(run).alias("b")).filter("a IS NOT NULL OR b IS NOT NULL").select("tok", "h1")
-    shared = materialise(shared, "postings")
-    some = sets.join(shared.select("h1").distinct(), "h1", "left_semi")
-    full = materialise(_tokens(some, rarity).select("h1", "h2", "first", "toks", F.size("toks").alias("n")), "candidates")
-    rows = shared.join(full, "h1").select("tok", "h1", "h2", "first", "n", F.array_position("toks", F.col("tok")).alias("pos"), "toks")
+    shared = posted.select("h1", "n", F.lag("h1").over(run).alias("a"), F.lead("h1").over(run).alias("b")).filter("a IS NOT NULL OR b IS NOT NULL")
+    enough = F.expr(f"c >= least(n, 2 * {prefix.format(n='n')}) - n + {most.format(n='n')}")
+    some = materialise(shared.groupBy("h1", "n").agg(F.count("*").alias("c")).filter(enough).select("h1").distinct(), "candidates")
+    full = _tokens(sets.join(some, "h1", "left_semi"), rarity, "h1", "h2", "first")
+    rows = full.select("h1", "h2", "first", F.expr(f"{n} AS n"), "toks", F.posexplode(F.expr(f"slice(toks, 1, cast({prefix.format(n=n)} as int))")).alias("pos", "tok"))
     late, early = rows.alias("l"), rows.alias("e")
-    n, d = NUMERATOR, DENOMINATOR
+    num, den = NUMERATOR, DENOMINATOR
     match = F.expr(
-        f"l.tok = e.tok AND e.first < l.first AND {d} * e.n >= {n} * l.n AND {d} * l.n >= {n} * e.n"
-        f" AND {n + d} * (1 + least(l.n - l.pos, e.n - e.pos)) >= {n} * (l.n + e.n)"
-        f" AND {n + d} * size(array_intersect(l.toks, e.toks)) >= {n} * (l.n + e.n)"
+        f"l.tok = e.tok AND e.first < l.first AND {den} * e.n >= {num} * l.n AND {den} * l.n >= {num} * e.n"
+        f" AND {num + den} * least(l.n - l.pos, e.n - e.pos) >= {num} * (l.n + e.n)"
+        f" AND {num + den} * size(array_intersect(l.toks, e.toks)) >= {num} * (l.n + e.n)"
     )
     gone = materialise(late.join(early, match, "left_semi").select("h1", "h2").distinct(), "matched")
     return sets.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left_anti").select("first.doc_id", "first.line_no")
