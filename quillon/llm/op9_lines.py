@@ -23,6 +23,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets of the rarity table.
 BUCKETS = 1 << 16
+#: Ids of candidate lines (8 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 _BITS = 53
 _GAP = r"[\x20\x09\x0B-\x0D]+"
 _EDGE = " \t\x0b\x0c\r"
@@ -73,8 +75,10 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = posted.select("h1", "n", F.lag("h1").over(run).alias("a"), F.lead("h1").over(run).alias("b")).filter("a IS NOT NULL OR b IS NOT NULL")
     enough = F.expr(f"c >= least(n, 2 * {prefix.format(n='n')}) - n + {most.format(n='n')}")
     some = materialise(shared.groupBy("h1", "n").agg(F.count("*").alias("c")).filter(enough).select("h1").distinct(), "candidates")
-    full = _tokens(sets.join(some, "h1", "left_semi"), rarity, "h1", "h2", "first")
-    rows = full.select("h1", "h2", "first", F.expr(f"{n} AS n"), "toks", F.posexplode(F.expr(f"slice(toks, 1, cast({prefix.format(n=n)} as int))")).alias("pos", "tok"))
+    # The candidates' ids are sent to all executors if they are few; otherwise both sides are shuffled.
+    few = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+    full = _tokens(sets.join(few, "h1", "left_semi"), rarity, "first")
+    rows = full.select("first", F.expr(f"{n} AS n"), "toks", F.posexplode(F.expr(f"slice(toks, 1, cast({prefix.format(n=n)} as int))")).alias("pos", "tok"))
     late, early = rows.alias("l"), rows.alias("e")
     num, den = NUMERATOR, DENOMINATOR
     match = F.expr(
@@ -82,8 +86,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         f" AND {num + den} * least(l.n - l.pos, e.n - e.pos) >= {num} * (l.n + e.n)"
         f" AND {num + den} * size(array_intersect(l.toks, e.toks)) >= {num} * (l.n + e.n)"
     )
-    gone = materialise(late.join(early, match, "left_semi").select("h1", "h2").distinct(), "matched")
-    return sets.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left_anti").select("first.doc_id", "first.line_no")
+    # Both sides have the same columns, so that one shuffle serves both.
+    gone = materialise(late.join(early, match, "left_semi").select("first").distinct(), "matched")
+    return sets.select("first").join(gone, "first", "left_anti").select("first.doc_id", "first.line_no")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
