@@ -66,14 +66,17 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = materialise(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("norm").alias("norm")), "lines")
     rarity = _rarity(sets)
     # A match holds at least `most` of a line's n tokens, so n - most + 1 of them are its prefix. Of twice as
-    # many, all but n - most must be in several sets: lines that only share a passage drop out here.
+    # many, all but n - most must be in several sets, or as many as the shortest match, of `most` tokens, posts
+    # if that is less: lines that only share a passage drop out here.
     n = "size(toks)"
     most = f"(({NUMERATOR} * {{n}} + {DENOMINATOR - 1}) div {DENOMINATOR})"
     prefix = f"({{n}} - {most} + 1)"
+    fewest = most.format(n="n")
+    posts = "least({n}, 2 * ({n} - " + most + " + 1))"
     posted = _tokens(sets, rarity, "h1").select("h1", F.expr(f"{n} AS n"), F.explode(F.expr(f"slice(toks, 1, 2 * cast({prefix.format(n=n)} as int))")).alias("tok"))
     run = Window.partitionBy("tok").orderBy("h1")
     shared = posted.select("h1", "n", F.lag("h1").over(run).alias("a"), F.lead("h1").over(run).alias("b")).filter("a IS NOT NULL OR b IS NOT NULL")
-    enough = F.expr(f"c >= least(n, 2 * {prefix.format(n='n')}) - n + {most.format(n='n')}")
+    enough = F.expr(f"c >= least({posts.format(n='n')} - n + {fewest}, {posts.format(n=fewest)})")
     some = materialise(shared.groupBy("h1", "n").agg(F.count("*").alias("c")).filter(enough).select("h1").distinct(), "candidates")
     # The candidates' ids are sent to all executors if they are few; otherwise both sides are shuffled.
     few = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
