@@ -16,6 +16,9 @@ from quillon.llm.common import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose likeliest language is less sure than this is rejected.
 LEAST_SCORE = 0.5
+#: The posterior of any longer text is near 1. So a document is rejected, too, whose n-grams have a mean
+#: log-probability lower by this (in nats) than the text its language was learned from.
+LEAST_FIT = -3.5
 #: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
 
@@ -25,9 +28,15 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, without text or of no sure language go; lang becomes the predicted one."""
+    """Documents without a letter, without text or of no sure language go, and those whose n-grams are not like
+    the language's; lang becomes the predicted one. Without any labelled row there is nothing to judge by:
+    documents without a letter go, the others stay as they are."""
     model = op8_langid.train(docs)
-    return op8_langid.label(docs, model).filter((F.col("lang_pred") != op8_langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    told = op8_langid.label(docs.select(*COLUMNS), model, fit_col="lang_fit")
+    if not model[0]:
+        return told.filter(F.col("lang_fit").isNotNull()).select(*COLUMNS)
+    sure = (F.col("lang_pred") != op8_langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE) & (F.col("lang_fit") >= LEAST_FIT)
+    return told.filter(sure).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

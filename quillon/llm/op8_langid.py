@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3)
 #: Labelled documents of each language that are learned from, about; chosen by the hash of the id.
 PER_LANGUAGE = 5000
 SMOOTHING = 0.5
+#: Over the root of a text's number of n-grams: what its mean log-probability may lie low by chance, in nats.
+CHANCE = 10.0
 UNKNOWN = "und"
 #: Characters worked on at once.
 _SPAN = 1 << 20
@@ -100,15 +102,31 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return languages, np.hstack([logs, np.log(prior / prior.sum())[:, None]]).astype(np.float32)
 
 
-def classify(text: object, languages: list[str], logs_of: np.ndarray) -> tuple[str, float]:
-    """The likeliest language of a text and its posterior; logs_of: a row for each bucket, the prior last."""
+def usual(model: tuple[list[str], np.ndarray]) -> np.ndarray:
+    """By language, the mean log-probability of an n-gram over the text it was learned from."""
+    logs = model[1][:, :BUCKETS].astype(np.float64)
+    learned = np.exp(logs) - np.exp(logs.min(axis=1, keepdims=True))  # counts alone, without the smoothing
+    total = learned.sum(axis=1)
+    return np.where(total > 0, (learned * logs).sum(axis=1) / np.where(total > 0, total, 1), logs.mean(axis=1))
+
+
+def judge(text: object, languages: list[str], logs_of: np.ndarray) -> tuple[str, float, int | None, float | None]:
+    """The likeliest language of a text, its posterior, its number (none without a model) and the mean
+    log-probability of an n-gram with the allowance for chance (none without a letter, 0 without a model)."""
     hit = buckets(text) if isinstance(text, str) else ()
-    if not len(hit) or not languages:
-        return UNKNOWN, 0.0
+    if not len(hit):
+        return UNKNOWN, 0.0, None, None
+    if not languages:
+        return UNKNOWN, 0.0, None, 0.0
     kinds, n = np.unique(hit, return_counts=True) if len(hit) < BUCKETS else (np.arange(BUCKETS), np.bincount(hit, minlength=BUCKETS))
     logs = (logs_of[kinds].astype(np.float64) * n[:, None]).sum(axis=0) + logs_of[BUCKETS]
     k = int(logs.argmax())
-    return languages[k], float(1 / np.exp(logs - logs[k]).sum())
+    return languages[k], float(1 / np.exp(logs - logs[k]).sum()), k, float((logs[k] - logs_of[BUCKETS, k]) / len(hit) + CHANCE / len(hit) ** 0.5)
+
+
+def classify(text: object, languages: list[str], logs_of: np.ndarray) -> tuple[str, float]:
+    """The likeliest language of a text and its posterior; logs_of: a row for each bucket, the prior last."""
+    return judge(text, languages, logs_of)[:2]
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,20 +145,28 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return keep_columns(docs, id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def label(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The documents with all their columns (one named lang_pred or lang_score is replaced) and lang_pred, lang_score."""
+def label(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", fit_col: str | None = None) -> DataFrame:
+    """The documents with all their columns (one named lang_pred or lang_score is replaced) and lang_pred, lang_score.
+
+    fit_col, if named: the mean log-probability of the text's n-grams in that language, less what the text the
+    language was learned from has, plus an allowance for short texts. It does not grow with the text, so it tells text of no learned language,
+    whose posterior is near 1 all the same. Null without a letter, 0 if the model is empty."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model[0], np.ascontiguousarray(model[1].T)))
-    columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    shared = spark.sparkContext.broadcast((model[0], np.ascontiguousarray(model[1].T), usual(model)))
+    more = {"lang_pred": T.StringType(), "lang_score": T.DoubleType()} | ({fit_col: T.DoubleType()} if fit_col else {})
+    columns = [c for c in docs.columns if c not in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, logs_of, level = shared.value
         for batch in batches:
-            guess = [classify(t, *shared.value) for t in batch.column(columns.index(text_col)).to_pylist()]
-            more = [pa.array([g[0] for g in guess], pa.string()), pa.array([g[1] for g in guess], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, "lang_pred", "lang_score"])
+            guess = [judge(t, languages, logs_of) for t in batch.column(columns.index(text_col)).to_pylist()]
+            made = [pa.array([g[0] for g in guess], pa.string()), pa.array([g[1] for g in guess], pa.float64())]
+            if fit_col:
+                made.append(pa.array([g[3] if g[2] is None else g[3] - float(level[g[2]]) for g in guess], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*columns, *more])
 
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(c, kind) for c, kind in more.items())])
     return keep_columns(docs, *columns).mapInArrow(run, schema)
 
 
