@@ -21,7 +21,9 @@ from quillon.llm.common import keep_columns, materialise, small_batches, table
 from quillon.llm.components import block_pairs, components, pivot_groups
 from quillon.llm.wordhash import combine, shingles, word_hashes
 
-PERMUTATIONS, BANDS, ROWS = 128, 21, 6
+PERMUTATIONS = 128
+#: Share of pairs just at the threshold that may have no band in common.
+MISSED = 5e-5
 BITS = 2
 #: Estimates this many deviations below the threshold are still verified.
 SLACK = 4.5
@@ -41,10 +43,18 @@ def minima(found: np.ndarray) -> np.ndarray:
     return low
 
 
-def bands(low: np.ndarray) -> np.ndarray:
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = combine(key, low[: BANDS * ROWS].reshape(BANDS, ROWS)[:, k].astype(np.uint64))
+def layout(percent: int) -> tuple[int, int]:
+    """Number of bands and minima in each: the longest bands that miss few enough pairs (21 of 6 at 85)."""
+    for rows in range(PERMUTATIONS, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (PERMUTATIONS // rows) <= MISSED:
+            return PERMUTATIONS // rows, rows
+    return PERMUTATIONS, 1
+
+
+def bands(low: np.ndarray, count: int, rows: int) -> np.ndarray:
+    key = np.arange(1, count + 1, dtype=np.uint64)
+    for k in range(rows):
+        key = combine(key, low[: count * rows].reshape(count, rows)[:, k].astype(np.uint64))
     return key.view(np.int64)
 
 
@@ -117,6 +127,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     no link; a null id has no links and is kept. Rows that repeat an id share its component."""
     spark = docs.sparkSession
     small_batches(spark)
+    shape = layout(percent)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,7 +136,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
                 made = shingles(found, words)
                 digest = np.frombuffer(hashlib.blake2b(made.tobytes(), digest_size=16).digest(), np.int64)
                 low = minima(made)
-                rows.append((i, len(made), int(digest[0]), int(digest[1]), bands(low).tolist() if len(made) else [], pack(low)))
+                rows.append((i, len(made), int(digest[0]), int(digest[1]), bands(low, *shape).tolist() if len(made) else [], pack(low)))
             out = pd.DataFrame(rows, columns=["id", "n", "k1", "k2", "bands", "signature"])
             yield out.astype({"id": "Int64"})
 

@@ -380,6 +380,19 @@ def test_minhash_odd(odd, empty):
     assert set(got[got.doc_id.isin([3, 4, 5])].n_shingles) == {0} and got[got.doc_id.isin([3, 4, 5])].kept.all()
 
 
+def test_minhash_finds_pairs_at_a_lower_threshold(spark):
+    """2000 pairs of similarity 8/10: 21 bands of 6 lose about one in 590 of them."""
+    pairs = [[f"c{i}x{k}" for k in range(8)] for i in range(2000)]
+    rows = [(2 * i + k, " ".join([*w, f"{'ab'[k]}{i}"])) for i, w in enumerate(pairs) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = op7_minhash.near_duplicates(df, words=1, percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+    for percent in (50, 80, 85, 95, 100):
+        count, size = op7_minhash.layout(percent)
+        assert count * size <= 128 and (1 - (percent / 100) ** size) ** count <= 5e-5
+    assert op7_minhash.layout(85) == (21, 6)
+
+
 def test_estimate_is_near_the_similarity():
     r = np.random.default_rng(4)
     for j in (0.5, 0.8, 0.95):
