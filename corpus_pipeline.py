@@ -46,9 +46,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    gone = op7_minhash.near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8. Rows that repeat an
+    id are judged by their own texts; of rows repeated whole one stays."""
+    return op7_minhash.remove(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import keep_columns, materialise, small_batches, table
@@ -124,7 +124,33 @@ def link_group(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], signatu
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: linked are documents with 100 * intersection at least
     percent * union. Sets that are equal are one node. A null text, or one without words, has no shingle and
-    no link; a null id has no links and is kept. Rows that repeat an id share its component."""
+    no link; a null id has no links and is kept. Rows are told apart even if they repeat an id: one row of each
+    component is kept, of its smallest id."""
+    return decisions(docs, words, percent, id_col, text_col, block).select(id_col, "n_shingles", "component_id", "kept")
+
+
+def remove(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are kept, with all columns. Of rows that repeat id and text, the least by its columns stays."""
+    found = decisions(docs, words, percent, id_col, text_col).filter("NOT kept")
+    gone = materialise(found.select(F.col(id_col).alias("gone_id"), F.col("r1").alias("gone_r1"), F.col("r2").alias("gone_r2"), "twin").distinct(), "gone")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), *_digests(text))
+    same = (F.col("id") == F.col("gone_id")) & (F.col("r1") == F.col("gone_r1")) & (F.col("r2") == F.col("gone_r2"))
+    left = rows.join(gone, same, "left_anti").select("row.*")
+    twins = gone.filter("twin")
+    if twins.isEmpty():
+        return left
+    return left.unionByName(rows.join(twins, same, "left_semi").groupBy("id", "r1", "r2").agg(F.min("row").alias("row")).select("row.*"))
+
+
+def _digests(text: Column) -> tuple[Column, Column]:
+    """r1, r2: 128 bits that tell texts of one id apart."""
+    return F.xxhash64(text).alias("r1"), F.xxhash64(text, F.lit(1)).alias("r2")
+
+
+def decisions(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """(id, r1, r2, n_shingles, component_id, kept, twin) of every row; r1, r2: digests of its text; twin: another
+    row of the same id and text is kept instead. Nodes are numbers of sets, not ids, which rows may repeat."""
     spark = docs.sparkSession
     small_batches(spark)
     shape = layout(percent)
@@ -132,29 +158,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, found in zip(pdf["id"], word_hashes(pdf["text"].tolist()), strict=True):
+            for i, r1, r2, found in zip(pdf["id"], pdf["r1"], pdf["r2"], word_hashes(pdf["text"].tolist()), strict=True):
                 made = shingles(found, words)
                 digest = np.frombuffer(hashlib.blake2b(made.tobytes(), digest_size=16).digest(), np.int64)
                 low = minima(made)
-                rows.append((i, len(made), int(digest[0]), int(digest[1]), bands(low, *shape).tolist() if len(made) else [], pack(low)))
-            out = pd.DataFrame(rows, columns=["id", "n", "k1", "k2", "bands", "signature"])
+                rows.append((i, r1, r2, len(made), int(digest[0]), int(digest[1]), bands(low, *shape).tolist() if len(made) else [], pack(low)))
+            out = pd.DataFrame(rows, columns=["id", "r1", "r2", "n", "k1", "k2", "bands", "signature"])
             yield out.astype({"id": "Int64"})
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [shingles(x, words) for x in word_hashes(pdf["text"].tolist())]
-            digest = [np.frombuffer(hashlib.blake2b(m.tobytes(), digest_size=16).digest(), np.int64) for m in made]
-            yield pd.DataFrame({"id": pdf["id"], "k1": [int(d[0]) for d in digest], "k2": [int(d[1]) for d in digest], "shingles": [m.tobytes() for m in made]})
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [m.tobytes() for m in made]})
 
     rows = keep_columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = materialise(rows.mapInPandas(sign, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary"), "signatures")
-    sets = signed.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    sets = materialise(sets, "sets")
-    buckets = sets.select("id", F.posexplode("bands").alias("band", "value"))
+    rows = rows.select("id", *_digests(F.col("text")), "text")
+    signed = rows.mapInPandas(sign, "id bigint, r1 bigint, r2 bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary")
+    signed = materialise(signed.withColumn("at", F.monotonically_increasing_id()), "signatures")
+    row = F.struct("id", "r1", "r2", "at")
+    sets = signed.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(row).alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    buckets = sets.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "value"))
     groups = materialise(pivot_groups(buckets, ["band", "value"]), "groups")
-    members = sets.join(groups.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2", "signature")
-    texts = rows.join(members.select("id").distinct(), "id", "left_semi").mapInPandas(expand, "id bigint, k1 bigint, k2 bigint, shingles binary")
-    full = texts.join(members, ["id", "k1", "k2"]).groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature"))
+    members = sets.join(groups.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "first.id", "first.r1", "first.r2", "signature")
+    texts = rows.join(members.drop("signature"), ["id", "r1", "r2"]).select("node", "text").mapInPandas(expand, "node bigint, shingles binary")
+    full = texts.join(members.select("node", "signature"), "node").groupBy(F.col("node").alias("id")).agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         made = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
@@ -163,11 +191,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
         return pd.DataFrame(link_group(pdf["id"].to_numpy(), pdf["own"].to_numpy(), made, signature, cross, percent), columns=["a", "b"])
 
     links = block_pairs(groups, block).join(full, "id").groupBy("pivot", "left", "right").applyInPandas(link, "a bigint, b bigint")
-    found = components(materialise(links, "links"))
-    whole = signed.select("id", "n", "k1", "k2").join(sets.select("k1", "k2", F.col("id").alias("node")), ["k1", "k2"], "left").withColumn("node", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")))
-    out = whole.join(found, "node", "left").select("id", "n", F.coalesce("component", "node", "id").alias("component_id"))
-    # Rows that repeat an id with other texts join its smallest component.
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # Each component goes by the least of its rows: id first, then digests.
+    found = components(materialise(links, "links")).join(sets.select("node", "first"), "node")
+    heads = found.groupBy("component").agg(F.min("first").alias("head"))
+    heads = found.join(heads, "component").select("node", "head")
+    named = sets.select("k1", "k2", "node", "first").join(heads, "node", "left").select("k1", "k2", F.coalesce("head", "first").alias("head"))
+    out = signed.select("id", "r1", "r2", "at", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    head = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("head"))
+    out = out.withColumn("head", head).withColumn("kept", F.coalesce(F.col("at") == F.col("head.at"), F.lit(True)))
+    twin = ~F.col("kept") & (F.col("id") == F.col("head.id")) & (F.col("r1") == F.col("head.r1")) & (F.col("r2") == F.col("head.r2"))
+    return out.select(F.col("id").alias(id_col), "r1", "r2", F.col("n").alias("n_shingles"), F.coalesce("head.id", "id").alias("component_id"), "kept", F.coalesce(twin, F.lit(False)).alias("twin"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,6 +380,19 @@ def test_minhash_odd(odd, empty):
     assert set(got[got.doc_id.isin([3, 4, 5])].n_shingles) == {0} and got[got.doc_id.isin([3, 4, 5])].kept.all()
 
 
+def test_minhash_rows_that_repeat_an_id(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e, f = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcdef")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, d), (4, d.upper()), (5, e), (5, f), (6, e + " more"), (7, f + " more"), (None, a), (8, None), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = op7_minhash.near_duplicates(df).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id in (6, 7)} == {(6, 5), (7, 5)}
+    assert collections.Counter(r.doc_id for r in got if r.kept) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, None: 1, 8: 2}
+    left = collections.Counter((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.dedup_documents(spark, df, DATA).collect())
+    assert left == {(1, a): 1, (2, b): 1, (3, c): 1, (4, d): 1, (5, e): 1, (5, f): 1, (None, a): 1, (8, ""): 2}
+
+
 def test_minhash_finds_pairs_at_a_lower_threshold(spark):
     """2000 pairs of similarity 8/10: 21 bands of 6 lose about one in 590 of them."""
     pairs = [[f"c{i}x{k}" for k in range(8)] for i in range(2000)]
