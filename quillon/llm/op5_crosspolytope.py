@@ -86,13 +86,14 @@ def compare(x: np.ndarray, own: np.ndarray, pivots: list[np.ndarray], pivot: int
             break
         label = new
     width = max(map(len, pivots))
-    wide = np.full((n, width), -1, np.int64)
+    wide = np.zeros((n, width), np.int64)
+    held = np.arange(width) < np.array([len(p) for p in pivots])[:, None]  # a pivot may be any number
     for i, p in enumerate(pivots):
         wide[i, : len(p)] = p
     count = np.zeros(n, np.int64)
     for at in range(0, len(a), 1 << 14):
         i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-        common = (wide[i][:, :, None] == wide[j][:, None, :]).any(axis=2) & (wide[i] >= 0)
+        common = ((wide[i][:, :, None] == wide[j][:, None, :]) & held[j][:, None, :]).any(axis=2) & held[i]
         least_pivot = np.where(common, wide[i], np.iinfo(np.int64).max).min(axis=1)
         i, j = i[least_pivot == pivot], j[least_pivot == pivot]
         np.add.at(count, i, weight[j])

@@ -300,6 +300,17 @@ def test_cross_polytope(spark):
     assert len(got) == len(rows) and op5_crosspolytope.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cross_polytope_counts_links_of_negative_ids(spark):
+    r = np.random.default_rng(6)
+    bases = r.normal(size=(6, 16))
+    rows = [(i, [float(x) for x in bases[i // 4] + r.normal(scale=0.002, size=16)], "a") for i in range(24)]
+    said = "vec_id bigint, embedding array<double>, label string"
+    want = op5_crosspolytope.near_duplicates(spark.createDataFrame(rows, said)).collect()
+    got = op5_crosspolytope.near_duplicates(spark.createDataFrame([(i - 100, v, k) for i, v, k in rows], said)).collect()
+    assert {r.vec_id + 100: (r.n_links, r.component_id + 100) for r in got} == {r.vec_id: (r.n_links, r.component_id) for r in want}
+    assert {r.n_links for r in want} == {3}
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose((op5_crosspolytope.hadamard(x) ** 2).sum(axis=1), (x**2).sum(axis=1))
