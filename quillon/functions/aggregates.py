@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def percentile_cont(fraction: float, value: Column) -> Column:
     return F.percentile(value.cast("double"), fraction)
 
 
+def percentile_disc(fraction: Decimal, value: Column) -> Column:
+    """The value at rank ceil(fraction * n), 1 at least, exactly. Values of a group are held together."""
+    held = F.sort_array(F.collect_list(value))
+    rank = F.ceil(F.size(held).cast("decimal(10,0)") * F.lit(fraction)).cast("int")
+    return F.get(held, F.greatest(rank - 1, F.lit(0)))
+
+
 def quantile_lower(value: Column, fraction: float) -> Column:
     """The value at rank floor(fraction * (n - 1)), exactly. Values of a group are held together, so for very
     large groups quantile_sketch is the bounded form."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -275,14 +276,14 @@ class Compiler:
             if value is None or not isinstance(args[0], A.Literal) or not 0 <= float(args[0].value) <= 1:
                 raise PlanError(f"{name} takes a literal between 0 and 1 and a value")
             c = AGG.masked(self.number(value), where)
-            return AGG.percentile_cont(float(args[0].value), c) if name == "PERCENTILE_CONT" else F.percentile_approx(c, float(args[0].value), 1_000_000)
+            return AGG.percentile_cont(float(args[0].value), c) if name == "PERCENTILE_CONT" else AGG.percentile_disc(Decimal(str(args[0].value)), c)
         if name == "APPROX_QUANTILE":
             self._arity(e, 2)
             return AGG.quantile_lower(AGG.masked(self.number(args[0]), where), float(args[1].value))
         self._arity(e, 1)
         c = AGG.masked(self.number(args[0]) if name in AGG.NUMERIC else self.column(args[0]), where)
         if e.distinct and name in ("SUM", "AVG"):
-            return F.sum_distinct(c) if name == "SUM" else F.call_function("avg", c)
+            return F.sum_distinct(c) if name == "SUM" else F.sum_distinct(c) / F.count_distinct(c)
         if e.distinct and name not in ("MIN", "MAX"):
             raise Unsupported(f"{name}(DISTINCT)")
         return AGG.SIMPLE[name](c)

@@ -29,6 +29,18 @@ def test_population_variance_and_percentiles(e):
     assert row == [(500.0, 125.0, 3125.0, 55.9, 125.0, 87.5)]
 
 
+def test_distinct_average_and_exact_discrete_percentiles(e, spark, tmp_path):
+    e.execute("CREATE TABLE d (id BIGINT, g TEXT, v BIGINT, t TEXT) ORDER BY id")
+    e.execute("INSERT INTO d VALUES (1,'a',1,'1'), (2,'a',1,'1'), (3,'a',1,'1'), (4,'a',4,'4'), (5,'b',NULL,NULL), (6,'b',NULL,NULL)")
+    sql = "SELECT g, AVG(DISTINCT v), AVG(DISTINCT t), AVG(DISTINCT v) FILTER (WHERE v > 1), AVG(v), SUM(DISTINCT v) FROM d GROUP BY g ORDER BY g"
+    assert got(e, sql) == [("a", 2.5, 2.5, 4.0, 1.75, 5), ("b", None, None, None, None, None)]
+    e.execute("CREATE TABLE h (id BIGINT) ORDER BY id")
+    e.execute("INSERT INTO h VALUES " + ", ".join(f"({i})" for i in range(1, 101)))
+    sql = "SELECT PERCENTILE_DISC(0.07, id), PERCENTILE_DISC(0, id), PERCENTILE_DISC(1, id), PERCENTILE_DISC(0.071) WITHIN GROUP (ORDER BY id) FROM h"
+    assert got(e, sql) == [(7, 1, 100, 8)]
+    assert "approx" not in e.query(sql)._jdf.queryExecution().toString()
+
+
 def test_counts_with_nulls(e):
     e.execute("CREATE TABLE n (id BIGINT, value DOUBLE) ORDER BY id")
     e.execute("INSERT INTO n VALUES (1,10),(2,20),(3,NULL),(4,30),(5,40)")
