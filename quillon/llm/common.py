@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from quillon.session import shared_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Partitions of a shuffled join's smaller side below this are hashed rather than sorted, as measured when it runs.
+_HASHED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+_WRITE = {_CLEANUP: "true", _HASHED: "64MB"}
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,12 +40,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, tag)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in _WRITE}
+    for key, value in _WRITE.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,5 +62,13 @@ def keep_columns(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in needed])
 
 
+def free_name(used: list[str], name: str) -> str:
+    """The name, or with as many "_" added as it takes to be none of those used (in any case of letters)."""
+    taken = {c.lower() for c in used}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,114 +2,163 @@
 
 A line's tokens are its runs of five words (a shorter line: the whole of it). Two lines match if the
 Jaccard similarity of their token sets is at least 0.8; a line goes if an earlier one matches it, by
-(doc_id, line number). Lines with one text are one set. Tokens are ordered by rarity (the corpus's count of
-the middle word, in a fixed number of hash buckets), then hash. Two matching sets share a token of their
-prefixes. Lines whose longer prefix holds enough tokens of several sets are joined on the tokens of their
-prefix, under length and positional filters, and verified on the whole sets. It is a semi join: a line is settled by its first
-match, and pairs are never put out.
+(document id, line number). Lines with the same words are one set, known by two 64-bit hashes.
+
+The join runs in two steps, each exact.
+
+1. Which lines can match at all. Tokens in the order of their hashes; of n tokens a line posts the first
+   n - ceil(0.8 n) + SHARED. What a line doesn't post are its last ceil(0.8 n) - SHARED tokens. Two matching
+   lines share at least ceil(0.8 N) tokens, N the larger size, and of those only the last ceil(0.8 N) - SHARED
+   are not posted by both. So both post at least min(SHARED, ceil(0.8 N)) common tokens, and a line that has fewer
+   posted tokens in common with other lines matches none.
+2. The lines that are left have their tokens counted. Tokens are ordered by that count, the rarest first, then
+   by hash. A token of one line alone is rarest of all and matches nothing, so only shared tokens are kept; a
+   line with fewer than ceil(0.8 n) of them is done. The others are joined on the tokens of their prefix under
+   length and positional filters, and verified on the whole sets. Each line is first held against the earliest line
+   of each of its tokens, which settles large groups of near copies in one pass; what is left is a semi join.
+
+No pair is ever put out, and no token's lines are gathered.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, table
+from quillon.llm.common import free_name, materialise, table
 
 WORDS = 5
 #: Similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Buckets of the rarity table.
-BUCKETS = 1 << 16
-#: Ids of candidate lines (8 bytes each) that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
-_BITS = 53
+#: Posted tokens that two matching lines have in common at least (all that must match, if those are fewer).
+SHARED = 3
 _GAP = r"[\x20\x09\x0B-\x0D]+"
 _EDGE = " \t\x0b\x0c\r"
+_ODD = " OR ".join(f"contains(text, '{c}')" for c in ("  ", *_EDGE[1:]))
+#: Of n tokens, how many a match shares at least, and the length of the prefix.
+_MOST = f"cast(({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR} as int)"
+_PREFIX = f"(n - {_MOST} + 1)"
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, norm) of all lines that hold a word; norm has no outer white space."""
-    text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("line_no", "line"))
-    return text.select("doc_id", "line_no", F.trim("line", F.lit(_EDGE)).alias("norm")).filter("norm <> ''")
-
-
-def _words(rows: DataFrame, *keep: str) -> DataFrame:
-    """The columns named and `w`, the line's words; single spaces alone, the common case, need no pattern."""
-    odd = " OR ".join(f"instr(norm, '{c}') > 0" for c in ("  ", *_EDGE[1:]))
-    return rows.select(*keep, F.expr(f"CASE WHEN {odd} THEN split(norm, r'{_GAP}', -1) ELSE split(norm, ' ', -1) END").alias("w"))
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text): `row` tells texts of one id apart."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text"))
 
 
-def _rarity(sets: DataFrame) -> str:
-    """Log-scaled counts of all words by 16 bits of their hash: 65,536 numbers whatever the corpus holds."""
-    counts = _words(sets).select(F.explode("w").alias("x")).groupBy(F.expr("cast(shiftrightunsigned(xxhash64(x), 48) as int)").alias("b")).count().collect()
-    table_ = [0] * BUCKETS
-    for r in counts:
-        table_[r["b"]] = min(1023, int(16 * math.log2(r["count"] + 1)))
-    return "[" + ",".join(map(str, table_)) + "]"
+def _words(norm: str = "norm") -> str:
+    """A line's words, as SQL; a line has no outer white space. In a text that isn't odd single spaces part them."""
+    return f"CASE WHEN odd THEN split({norm}, r'{_GAP}', -1) ELSE split({norm}, ' ', -1) END"
 
 
-def _tokens(rows: DataFrame, rarity: str, *keep: str) -> DataFrame:
-    """The columns named and `toks`: the line's distinct runs of five words in order: the rarity of the middle
-    word above, the hash of the run below. A shorter line is one run."""
+def _tokens() -> str:
+    """The line's distinct tokens by hash, as SQL. The line's words are bound to w once; they are never a column,
+    which would copy them."""
     run = ", ".join(f"get(w, i + {k})" for k in range(WORDS))
-    middle = f"cast(shiftrightunsigned(xxhash64(get(w, i + {WORDS // 2})), 48) as int)"
-    token = f"shiftleft(cast(get(from_json('{rarity}', 'array<int>'), {middle}) as bigint), {_BITS}) | (xxhash64({run}) & {(1 << _BITS) - 1}L)"
-    return _words(rows, *keep).select(*keep, F.expr(f"sort_array(array_distinct(transform(sequence(0, greatest(size(w) - {WORDS}, 0)), i -> {token})))").alias("toks"))
-
-
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no) of every line with words that has no earlier match."""
-    hashed = lines(docs, id_col, text_col).withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(1)))
-    sets = materialise(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("norm").alias("norm")), "lines")
-    rarity = _rarity(sets)
-    # A match holds at least `most` of a line's n tokens, so n - most + 1 of them are its prefix. Of twice as
-    # many, all but n - most must be in several sets, or as many as the shortest match, of `most` tokens, posts
-    # if that is less: lines that only share a passage drop out here.
-    n = "size(toks)"
-    most = f"(({NUMERATOR} * {{n}} + {DENOMINATOR - 1}) div {DENOMINATOR})"
-    prefix = f"({{n}} - {most} + 1)"
-    fewest = most.format(n="n")
-    posts = "least({n}, 2 * ({n} - " + most + " + 1))"
-    posted = _tokens(sets, rarity, "h1").select("h1", F.expr(f"{n} AS n"), F.explode(F.expr(f"slice(toks, 1, 2 * cast({prefix.format(n=n)} as int))")).alias("tok"))
-    run = Window.partitionBy("tok").orderBy("h1")
-    shared = posted.select("h1", "n", F.lag("h1").over(run).alias("a"), F.lead("h1").over(run).alias("b")).filter("a IS NOT NULL OR b IS NOT NULL")
-    enough = F.expr(f"c >= least({posts.format(n='n')} - n + {fewest}, {posts.format(n=fewest)})")
-    some = materialise(shared.groupBy("h1", "n").agg(F.count("*").alias("c")).filter(enough).select("h1").distinct(), "candidates")
-    # The candidates' ids are sent to all executors if they are few; otherwise both sides are shuffled.
-    few = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-    full = _tokens(sets.join(few, "h1", "left_semi"), rarity, "first")
-    rows = full.select("first", F.expr(f"{n} AS n"), "toks", F.posexplode(F.expr(f"slice(toks, 1, cast({prefix.format(n=n)} as int))")).alias("pos", "tok"))
-    late, early = rows.alias("l"), rows.alias("e")
+    runs = f"transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({run}))"
+    return f"transform(array({_words()}), w -> IF(size(w) < {WORDS}, cast(array() as array<bigint>), sort_array(array_distinct({runs}))))[0]"
+
+
+def _post(docs: DataFrame) -> DataFrame:
+    """(id, row, odd, line_no, h1, h2, n, posted) of all lines that hold a word. Lines of fewer than five words have
+    n = 0 and post nothing: their one token is no run of any other line."""
+    lines = docs.withColumn("odd", F.expr(_ODD)).select("id", "row", "odd", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.select("id", "row", "odd", "line_no", F.trim("line", F.lit(_EDGE)).alias("norm")).filter("norm <> ''")
+    same = F.expr(f"CASE WHEN odd THEN array_join({_words()}, ' ') ELSE norm END")
+    known = lines.select("id", "row", "line_no", "odd", "norm", F.xxhash64(same).alias("h1"), F.xxhash64(F.lit(1), same).alias("h2"))
+    sized = known.select("id", "row", "odd", "line_no", "h1", "h2", F.expr(_tokens()).alias("toks")).withColumn("n", F.size("toks"))
+    return sized.select("id", "row", "odd", "line_no", "h1", "h2", "n", F.expr(f"slice(toks, 1, least(n, {_PREFIX} + {SHARED - 1}))").alias("posted"))
+
+
+def _candidates(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Places (at) of the lines, each set's first, that step 1 leaves, and whether their text is odd."""
+    each = posts.select("h1", F.explode("posted").alias("tok"))
+    common = materialise(each.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("tok"), "posted")
+    held = posts.select("id", "row", "odd", "line_no", "h1", "h2", "n", F.explode("posted").alias("tok")).join(common, "tok", "left_semi")
+    enough = held.groupBy("id", "row", "odd", "line_no", "h1", "h2", "n").agg(F.count("*").alias("c")).filter(F.expr(f"c >= least({SHARED}, {_MOST})"))
+    at = F.struct("id", "line_no", "row")
+    return enough.select("h1", "h2", "odd", at.alias("at")).join(sets, ["h1", "h2"]).filter("at = first").select("at", "odd")
+
+
+def _shared_tokens(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(at, n, said, toks) of candidate lines with enough shared tokens: toks holds these alone, rarest first; said
+    holds the words of a line of one token, which has nothing else to be verified by."""
+    wanted = candidates.groupBy(F.col("at.id").alias("wid"), F.col("at.row").alias("wrow"), "odd").agg(F.collect_set("at.line_no").alias("wanted"))
+    texts = docs.join(wanted, docs["id"].eqNullSafe(F.col("wid")) & (docs["row"] == F.col("wrow")))
+    texts = texts.select("id", "row", "odd", F.split("text", "\n", -1).alias("ls"), F.explode("wanted").alias("line_no"))
+    lines = texts.select(F.struct("id", "line_no", "row").alias("at"), "odd", F.trim(F.get("ls", "line_no"), F.lit(_EDGE)).alias("norm"))
+    runs = lines.select("at", "odd", "norm", F.expr(_tokens()).alias("toks")).withColumn("n", F.size("toks"))
+    said = F.expr(f"CASE WHEN n = 1 THEN array_join(slice({_words()}, 1, {WORDS}), ' ') END").alias("said")
+    whole = materialise(runs.select(F.monotonically_increasing_id().alias("num"), "at", "n", said, "toks"), "tokens")
+    each = whole.select("num", F.explode("toks").alias("tok"))
+    counts = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = materialise(each.join(counts, "tok"), "shared")
+    enough = shared.groupBy("num").agg(F.count("*").alias("c")).join(whole.select("num", "n", "at", "said"), "num").filter(F.expr(f"c >= {_MOST}"))
+    enough = materialise(enough.select("num", "n", "at", "said"), "enough")
+    ordered = shared.join(enough.select("num"), "num", "left_semi").groupBy("num").agg(F.sort_array(F.collect_set(F.struct("df", "tok"))).alias("shared"))
+    return materialise(ordered.join(enough, "num").select("at", "n", "said", F.col("shared.tok").alias("toks")), "ordered")
+
+
+def _matched(lines: DataFrame) -> DataFrame:
+    """(at) of every line that an earlier one matches."""
     num, den = NUMERATOR, DENOMINATOR
-    match = F.expr(
-        f"l.tok = e.tok AND e.first < l.first AND {den} * e.n >= {num} * l.n AND {den} * l.n >= {num} * e.n"
-        f" AND {num + den} * least(l.n - l.pos, e.n - e.pos) >= {num} * (l.n + e.n)"
-        f" AND {num + den} * size(array_intersect(l.toks, e.toks)) >= {num} * (l.n + e.n)"
-    )
-    # Both sides have the same columns, so that one shuffle serves both.
-    gone = materialise(late.join(early, match, "left_semi").select("first").distinct(), "matched")
-    return sets.select("first").join(gone, "first", "left_anti").select("first.doc_id", "first.line_no")
+    sizes = "e.at < l.at AND {den} * e.n >= {num} * l.n AND {den} * l.n >= {num} * e.n AND {both} * least(l.n - l.pos, e.n - e.pos) >= {num} * (l.n + e.n)"
+    whole = "l.said <=> e.said AND {both} * size(array_intersect(l.toks, e.toks)) >= {num} * (l.n + e.n)"
+    sizes, whole = (x.format(num=num, den=den, both=num + den) for x in (sizes, whole))
+    # Tokens of one line alone, n - size(toks), come before the shared ones in each prefix.
+    alone = "(n - size(toks))"
+    rows = lines.select("at", "n", F.expr(alone).alias("alone"), F.posexplode(F.expr(f"slice(toks, 1, {_PREFIX} - {alone})")).alias("k", "tok"))
+    rows = materialise(rows.select("at", "n", (F.col("alone") + F.col("k")).alias("pos"), "tok"), "prefixes")
+    # First against the earliest line of each token.
+    tops = materialise(rows.groupBy("tok").agg(F.min(F.struct("at", "n", "pos")).alias("e"), F.count("*").alias("c")).filter("c > 1"), "tops")
+    pairs = rows.alias("l").join(tops.alias("t"), "tok").filter(F.expr(sizes.replace("e.", "t.e."))).select(F.col("l.at").alias("la"), F.col("t.e.at").alias("ea")).distinct()
+    found = pairs.join(lines.alias("e"), F.expr("ea = e.at")).join(lines.alias("l"), F.expr("la = l.at")).filter(F.expr(whole))
+    settled = materialise(found.select("l.at").distinct(), "settled")
+    # Then, where a token has more lines, the lines that are left against all.
+    many = rows.join(tops.filter("c > 2").select("tok"), "tok", "left_semi")
+    right = many.join(lines.select("at", "toks", "said"), "at")
+    left = right.join(settled, "at", "left_anti")
+    more = left.alias("l").join(right.alias("e"), F.expr(f"l.tok = e.tok AND {sizes} AND {whole}"), "left_semi").select("at").distinct()
+    return materialise(settled.unionByName(more), "matched")
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, line_no) of every line with words that has an earlier match; row: xxhash64 of the text.
+    Rows repeated whole give theirs as often."""
+    texts = _documents(docs, id_col, text_col)
+    posts = materialise(_post(texts), "posts")
+    at = F.struct("id", "line_no", "row")
+    sets = materialise(posts.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c")), "sets")
+    gone = _matched(_shared_tokens(texts, _candidates(posts, sets.select("h1", "h2", "first"))))
+    # Lines of a set that has no earlier match stay at the set's first place alone.
+    judged = sets.join(gone, F.col("first") == F.col("at"), "left").filter("c > 1 OR at IS NOT NULL")
+    judged = judged.select("h1", "h2", "first", F.col("at").isNotNull().alias("late"))
+    places = posts.select("h1", "h2", at.alias("at")).join(judged, ["h1", "h2"]).filter("late OR at <> first")
+    return places.select("at.id", "at.row", "at.line_no")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all columns, matched lines taken out of their texts, and n_lines, n_removed (lines with
-    words). Lines without a word stay. Null text: stays null, no lines. Null ids come first in the order.
-    Rows that repeat one id are one place in the order: what goes, goes from each of them. Empty table: empty."""
-    kept = kept_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "kept")
-    both = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("kept_id")), "left")
-    # One character for each line up to the last kept one.
-    flags = F.expr("split(concat_ws('', transform(coalesce(kept, cast(array() as array<int>)), (k, i) -> concat(repeat('0', k - if(i = 0, 0, kept[i - 1] + 1)), '1'))), '')")
-    marked = both.withColumn("quillon_flags", flags).withColumn("quillon_lines", F.split(F.col(f"`{text_col}`"), "\n", -1))
-    blank = f"trim(BOTH '{_EDGE}' FROM x) = ''"
-    out = marked.withColumn("quillon_kept", F.expr(f"filter(quillon_lines, (x, i) -> coalesce(get(quillon_flags, i) = '1', false) OR {blank})"))
-    out = out.withColumn("n_lines", F.expr(f"cast(coalesce(size(filter(quillon_lines, x -> NOT ({blank}))), 0) as bigint)"))
-    out = out.withColumn("n_removed", F.expr("cast(coalesce(size(quillon_lines) - size(quillon_kept), 0) as bigint)"))
-    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join("quillon_kept", "\n")).alias(text_col)
-    return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed")
+    words; if the table has such a column, with "_" added to the name). Lines without a word stay, as do all other
+    bytes. Null text: stays null, no lines. Null ids come first in the order and are one place. Rows that repeat
+    an id are judged by their own texts; rows repeated whole are one place and share what goes. A text of any length
+    is one array of lines. Empty table: empty."""
+    used = [c.lower() for c in docs.columns]
+    gone_id, gone_row, gone, lines, flags = (free_name(used, c) for c in ("gone_id", "gone_row", "gone", "lines", "flags"))
+    found = removed_lines(docs, id_col, text_col).groupBy("id", "row").agg(F.sort_array(F.collect_set("line_no")).alias(gone))
+    found = materialise(found.select(F.col("id").alias(gone_id), F.col("row").alias(gone_row), gone), "removed")
+    text = F.col(f"`{text_col}`")
+    both = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_row)), "left")
+    # One character for each line up to the last that goes.
+    marks = F.expr(f"split(concat_ws('', transform({gone}, (k, i) -> concat(repeat('0', k - if(i = 0, 0, {gone}[i - 1] + 1)), '1'))), '')")
+    out = both.withColumn(flags, marks).withColumn(lines, F.split(text, "\n", -1))
+    left = F.expr(f"array_join(filter({lines}, (x, i) -> coalesce(get({flags}, i), '0') = '0'), '\n')")
+    n_lines = F.expr(f"cast(CASE WHEN {lines} IS NULL THEN 0 ELSE size(filter({lines}, x -> ascii(x) > 32 OR trim(BOTH '{_EDGE}' FROM x) <> '')) END as bigint)")
+    n_removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return out.select(
+        *[F.when(F.col(gone).isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        n_lines.alias(free_name(used, "n_lines")),
+        n_removed.alias(free_name(used, "n_removed")),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
