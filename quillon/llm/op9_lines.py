@@ -59,24 +59,26 @@ def _tokens() -> str:
 
 
 def _post(docs: DataFrame) -> DataFrame:
-    """(id, row, odd, line_no, h1, h2, n, posted) of all lines that hold a word. Lines of fewer than five words have
+    """(num, id, row, odd, line_no, h1, h2, n, posted) of all lines that hold a word. Lines of fewer than five words have
     n = 0 and post nothing: their one token is no run of any other line."""
     lines = docs.withColumn("odd", F.expr(_ODD)).select("id", "row", "odd", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.select("id", "row", "odd", "line_no", F.trim("line", F.lit(_EDGE)).alias("norm")).filter("norm <> ''")
     same = F.expr(f"CASE WHEN odd THEN array_join({_words()}, ' ') ELSE norm END")
     known = lines.select("id", "row", "line_no", "odd", "norm", F.xxhash64(same).alias("h1"), F.xxhash64(F.lit(1), same).alias("h2"))
     sized = known.select("id", "row", "odd", "line_no", "h1", "h2", F.expr(_tokens()).alias("toks")).withColumn("n", F.size("toks"))
-    return sized.select("id", "row", "odd", "line_no", "h1", "h2", "n", F.expr(f"slice(toks, 1, least(n, {_PREFIX} + {SHARED - 1}))").alias("posted"))
+    return sized.select(F.monotonically_increasing_id().alias("num"), "id", "row", "odd", "line_no", "h1", "h2", "n", F.expr(f"slice(toks, 1, least(n, {_PREFIX} + {SHARED - 1}))").alias("posted"))
 
 
 def _candidates(posts: DataFrame, sets: DataFrame) -> DataFrame:
     """Places (at) of the lines, each set's first, that step 1 leaves, and whether their text is odd."""
     each = posts.select("h1", F.explode("posted").alias("tok"))
     common = materialise(each.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("tok"), "posted")
-    held = posts.select("id", "row", "odd", "line_no", "h1", "h2", "n", F.explode("posted").alias("tok")).join(common, "tok", "left_semi")
-    enough = held.groupBy("id", "row", "odd", "line_no", "h1", "h2", "n").agg(F.count("*").alias("c")).filter(F.expr(f"c >= least({SHARED}, {_MOST})"))
-    at = F.struct("id", "line_no", "row")
-    return enough.select("h1", "h2", "odd", at.alias("at")).join(sets, ["h1", "h2"]).filter("at = first").select("at", "odd")
+    # Tokens travel with a line's number alone.
+    held = posts.select("num", F.explode("posted").alias("tok")).join(common, "tok", "left_semi").groupBy("num").agg(F.count("*").alias("c"))
+    held = materialise(held, "held")
+    lines = posts.select("num", "h1", "h2", "n", "odd", F.struct("id", "line_no", "row").alias("at"))
+    enough = lines.join(held, "num").filter(F.expr(f"c >= least({SHARED}, {_MOST})"))
+    return enough.select("h1", "h2", "odd", "at").join(sets, ["h1", "h2"]).filter("at = first").select("at", "odd")
 
 
 def _shared_tokens(docs: DataFrame, candidates: DataFrame) -> DataFrame:
