@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.errors import PlanError, TableNotFound, Unsupported
+from quillon.errors import PlanError, TableNotFound, Unsupported, mapped
 from quillon.operators import dml
 from quillon.operators.select import run_select
 from quillon.plans import ast as A
@@ -25,22 +25,34 @@ class Engine:
         self.frames[name.lower()] = (df, key or [])
         return self
 
-    def table(self, name: str) -> tuple[DataFrame, list[str]]:
+    def table(self, name: str, where: A.Expr | None = None) -> tuple[DataFrame, list[str]]:
+        """The table's frame and key; of a catalog table only the files whose key range the condition meets."""
         if name.lower() in self.frames:
             return self.frames[name.lower()]
         if self.catalog is None:
             raise TableNotFound(f"no table {name}")
-        return self.catalog.load(name), self.catalog.sort_key(name)
+        m = self.catalog.read(name)
+        bounds = dml.key_bounds(where, self.catalog.key_kind(m))
+        return self.catalog.frame(name, m, self.catalog.matching(m, bounds)), m["sort_key"]
 
+    @mapped
     def query(self, sql: str) -> DataFrame:
+        """The frame of a SELECT. What goes wrong while it is made is an EngineError; what goes wrong when its
+        rows are fetched is Spark's own error (rows() and the shell map that, too)."""
         statement = parse(sql)
         if not isinstance(statement, A.Select):
             raise PlanError("query() takes SELECT")
         if statement.table is None:
             raise Unsupported("SELECT without a table")
-        df, key = self.table(statement.table)
+        df, key = self.table(statement.table, statement.where)
         return run_select(df, statement, key)
 
+    @mapped
+    def rows(self, sql: str) -> list:
+        """The rows of a SELECT."""
+        return self.query(sql).collect()
+
+    @mapped
     def execute(self, sql: str) -> DataFrame | None:
         statement = parse(sql)
         if isinstance(statement, A.Select):

@@ -8,13 +8,14 @@ import sys
 from pyspark.sql import DataFrame
 
 from quillon.api import Engine
-from quillon.errors import EngineError
+from quillon.errors import EngineError, mapped
 from quillon.session import build_session
 
 HELP = r"""\d, \dt, .tables   tables          \d NAME, .schema NAME   columns
 \i FILE            run a file      \q                      quit"""
 
 
+@mapped
 def render(df: DataFrame, rows: int = 1000) -> str:
     """A header, rows with bars between, NULL for nulls, and the number of rows; the first `rows` are shown."""
     got = [["NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in r] for r in df.limit(rows).collect()]
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(text)
         except EOFError:
             return 0
-        except EngineError as e:
+        except (EngineError, OSError) as e:
             print(f"{type(e).__name__}: {e}", file=sys.stderr)
             if once:
                 return 1

@@ -42,9 +42,10 @@ def percentile_cont(fraction: float, value: Column) -> Column:
     return F.percentile(value.cast("double"), fraction)
 
 
-def percentile_disc(fraction: Decimal, value: Column) -> Column:
-    """The value at rank ceil(fraction * n), 1 at least, exactly. Values of a group are held together."""
-    held = F.sort_array(F.collect_list(value))
+def percentile_disc(fraction: Decimal, value: Column, down: bool = False) -> Column:
+    """The value at rank ceil(fraction * n), 1 at least, exactly; down: ranks from the largest. Values of a group
+    are held together."""
+    held = F.sort_array(F.collect_list(value), not down)
     rank = F.ceil(F.size(held).cast("decimal(10,0)") * F.lit(fraction)).cast("int")
     return F.get(held, F.greatest(rank - 1, F.lit(0)))
 

@@ -65,9 +65,13 @@ def bucket_micros(at: Column, width: int, origin: int = 0) -> Column:
     return F.timestamp_micros(micros - F.pmod(micros, F.lit(width)) + origin).cast("timestamp_ntz")
 
 
-def bucket_number(v: Column, width: Column, origin: Column) -> Column:
-    """The same over plain numbers."""
-    return floor((v - origin) / width) * width + origin
+def bucket_number(v: Column, width: float, origin: Column) -> Column:
+    """The same over plain numbers, which count as seconds; from 1e12 on, and down from -1e12, they and the origin
+    are microseconds. The result has the number's unit."""
+    v, origin = v.cast("double"), F.coalesce(origin.cast("double"), F.lit(0.0))
+    seconds = F.when(F.abs(origin) >= 1e12, origin / 1_000_000).otherwise(origin)
+    start = lambda x, w, o: F.floor((x - o) / w).cast("double") * w + o
+    return F.when(F.abs(v) >= 1e12, start(v, width * 1_000_000, seconds * 1_000_000)).otherwise(start(v, width, seconds))
 
 
 def truncate_time(unit: str, at: Column) -> Column:

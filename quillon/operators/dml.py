@@ -45,6 +45,8 @@ def literal_value(e: A.Expr, kind: T.DataType) -> object:
                 return text in _TRUE
             raise ValueError(text)
         if isinstance(kind, T.LongType):
+            if isinstance(v, float) and not v.is_integer():
+                raise ValueError(v)
             return int(v)
         if isinstance(kind, T.DoubleType):
             return float(v)
@@ -75,26 +77,102 @@ def insert(catalog: Catalog, s: A.Insert) -> int:
             raise ValueMismatch(f"{len(row)} values for {len(names)} columns")
         given = {n: literal_value(v, by_name[n].dataType) for n, v in zip(names, row, strict=True)}
         rows.append(tuple(given.get(n) for n in by_name))
-    catalog.append(s.table, catalog.spark.createDataFrame(rows, schema).coalesce(1))
+    catalog.append(s.table, catalog.spark.createDataFrame(rows, schema), small=True)
     return len(rows)
 
 
+def key_bounds(where: A.Expr | None, key: tuple[str, T.DataType] | None) -> tuple[object, object] | None:
+    """What the condition says of the sort key's first column: least and largest value, both ends included, or
+    None if nothing. Only conditions that must all hold are read, so every row that meets the whole is inside."""
+    if where is None or key is None:
+        return None
+    name, kind = key
+    low: list = []
+    high: list = []
+
+    def literal(e: A.Expr) -> object:
+        cast = isinstance(e, A.Cast) and isinstance(e.arg, A.Literal) and parse_type(e.type_name) == kind
+        if not (isinstance(e, A.Literal) or cast) or str(getattr(e, "value", "")).lower() == "now" or isinstance(getattr(e, "value", None), bool):
+            return None
+        if isinstance(kind, T.LongType) and isinstance(e, A.Literal) and isinstance(e.value, float):
+            return e.value
+        try:
+            v = literal_value(e, kind)
+        except ValueMismatch:
+            return None
+        # Other types of literal are compared by other rules than the key's own order.
+        return v if isinstance(v, {T.LongType: int, T.DoubleType: float, T.StringType: str, T.TimestampNTZType: dt.datetime}.get(type(kind), ())) else None
+
+    def plain(e: A.Expr) -> bool:
+        return not (isinstance(kind, T.StringType) and not (isinstance(e, A.Literal) and isinstance(e.value, str)))
+
+    def take(e: A.Expr) -> None:
+        if isinstance(e, A.Binary) and e.op == "AND":
+            take(e.left)
+            take(e.right)
+            return
+        if isinstance(e, A.Between) and not e.negated and _is(e.arg, name) and plain(e.low) and plain(e.high):
+            a, b = literal(e.low), literal(e.high)
+            if a is not None:
+                low.append(a)
+            if b is not None:
+                high.append(b)
+        if isinstance(e, A.InList) and not e.negated and _is(e.arg, name):
+            values = [literal(i) if plain(i) else None for i in e.items]
+            if None not in values:
+                low.append(min(values))
+                high.append(max(values))
+        if isinstance(e, A.Binary) and e.op in ("=", "<", "<=", ">", ">="):
+            op, left, right = e.op, e.left, e.right
+            if _is(right, name):
+                op, left, right = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), right, left
+            v = literal(right) if _is(left, name) and plain(right) else None
+            if v is not None:
+                if op in ("=", ">", ">="):
+                    low.append(v)
+                if op in ("=", "<", "<="):
+                    high.append(v)
+
+    take(where)
+    return (max(low, default=None), min(high, default=None)) if low or high else None
+
+
+def _is(e: A.Expr, name: str) -> bool:
+    return isinstance(e, A.Ref) and e.name.lower() == name.lower()
+
+
+def _targets(catalog: Catalog, table: str, where: A.Expr | None) -> tuple[dict, list[dict], F.Column]:
+    """The manifest, the files that hold rows to change (by key range, then by looking), and the condition."""
+    m = catalog.read(table)
+    files = catalog.matching(m, key_bounds(where, catalog.key_kind(m)))
+    if where is None:
+        return m, files, F.lit(True)
+    hit = F.coalesce(Compiler(catalog.frame(table, m, files)).column(where), F.lit(False))
+    return m, catalog.hit_files(table, m, files, hit), hit
+
+
 def update(catalog: Catalog, s: A.Update) -> None:
-    """Copy on write: one pass that replaces the values where the condition holds."""
-    df = catalog.load(s.table)
-    fields = {f.name.lower(): f for f in df.schema.fields}
-    new = {}
-    for n, e in s.values:
+    """Copy on write of the files that hold a row to change; the others stay as they are."""
+    schema = catalog.schema(s.table)
+    fields = {f.name.lower(): f for f in schema.fields}
+    for n, _ in s.values:
         if n.lower() not in fields:
             raise ColumnMismatch(f"no column {n}")
+    literal = lambda e: isinstance(e, (A.Literal, A.Cast)) or (isinstance(e, A.Ref) and e.name.upper() == "DEFAULT")
+    known = {n.lower(): literal_value(e, fields[n.lower()].dataType) for n, e in s.values if literal(e)}
+    m, files, hit = _targets(catalog, s.table, s.where)
+    if not files:
+        return
+    df = catalog.frame(s.table, m, files)
+    new = {}
+    for n, e in s.values:
         kind = fields[n.lower()].dataType
-        literal = isinstance(e, (A.Literal, A.Cast)) or (isinstance(e, A.Ref) and e.name.upper() == "DEFAULT")
-        new[n.lower()] = F.lit(literal_value(e, kind)).cast(kind) if literal else Compiler(df).column(e).cast(kind)
-    hit = F.lit(True) if s.where is None else F.coalesce(Compiler(df).column(s.where), F.lit(False))
-    catalog.replace(s.table, df.select(*[F.when(hit, new[c.lower()]).otherwise(F.col(f"`{c}`")).alias(c) if c.lower() in new else F.col(f"`{c}`") for c in df.columns]))
+        new[n.lower()] = F.lit(known[n.lower()]).cast(kind) if n.lower() in known else Compiler(df).column(e).cast(kind)
+    catalog.rewrite(s.table, m, files, df.select(*[F.when(hit, new[c.lower()]).otherwise(F.col(f"`{c}`")).alias(c) if c.lower() in new else F.col(f"`{c}`") for c in df.columns]))
 
 
 def delete(catalog: Catalog, s: A.Delete) -> None:
-    df = catalog.load(s.table)
-    hit = F.lit(True) if s.where is None else F.coalesce(Compiler(df).column(s.where), F.lit(False))
-    catalog.replace(s.table, df.filter(~hit))
+    """Rewrites the files that hold a row to delete, without those rows."""
+    m, files, hit = _targets(catalog, s.table, s.where)
+    if files:
+        catalog.rewrite(s.table, m, files, catalog.frame(s.table, m, files).filter(~hit))

@@ -72,6 +72,7 @@ class Match(Expr):
     arg: Expr
     pattern: Expr
     negated: bool
+    escape: str | None = None
 
 
 @dataclass(frozen=True)

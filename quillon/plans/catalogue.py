@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.api import Engine
 from quillon.session import shared_dir
@@ -196,6 +198,26 @@ QUERIES: dict[str, str | tuple[str, str]] = {
         "SELECT TIME_BUCKET('1 day', ts) AS b, COUNT(*) AS n, SUM(COUNT(*)) OVER (ORDER BY TIME_BUCKET('1 day', ts)) AS total FROM events GROUP BY 1",
         "SELECT TIME_BUCKET(INTERVAL '1 day', ts) AS b, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER (ORDER BY TIME_BUCKET(INTERVAL '1 day', ts)) AS BIGINT) AS total FROM events GROUP BY 1",
     ),
+    # what has rules of its own
+    "agg_percentile_desc": "SELECT event_type, ROUND(PERCENTILE_CONT(0.3) WITHIN GROUP (ORDER BY value DESC), 4) AS p FROM events GROUP BY event_type",
+    "filter_like_escape": "SELECT o_orderkey FROM orders WHERE o_orderstatus || '%' || o_orderpriority LIKE 'F!%2%' ESCAPE '!'",
+    "filter_not_rlike_null": (
+        "SELECT event_id FROM events WHERE CASE WHEN event_type = 'view' THEN NULL ELSE event_type END NOT RLIKE '^c'",
+        "SELECT event_id FROM events WHERE NOT regexp_matches(CASE WHEN event_type = 'view' THEN NULL ELSE event_type END, '^c')",
+    ),
+    "filter_bad_pattern": ("SELECT event_id FROM events WHERE event_type RLIKE '[' OR event_id < 5", "SELECT event_id FROM events WHERE event_id < 5"),
+    "expr_convert": ("SELECT o_orderkey, CONVERT(o_custkey, TEXT) AS c, TRY_CONVERT(o_orderpriority, BIGINT) AS n FROM orders", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, TRY_CAST(o_orderpriority AS BIGINT) AS n FROM orders"),
+    "expr_now": ("SELECT event_id, NOW() > ts AS past, CURRENT_TIMESTAMP >= ts AS too FROM events", "SELECT event_id, CAST(now() AS TIMESTAMP) > ts AS past, CAST(now() AS TIMESTAMP) >= ts AS too FROM events"),
+    "filter_now_literal": ("SELECT event_id FROM events WHERE ts < 'now'", "SELECT event_id FROM events WHERE ts < CAST(now() AS TIMESTAMP)"),
+    "win_range_interval": "SELECT event_id, ROUND(SUM(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1 hour' PRECEDING AND CURRENT ROW), 4) AS s FROM events",
+    "win_range_seconds": (
+        "SELECT event_id, COUNT(*) OVER (PARTITION BY event_type ORDER BY ts DESC RANGE BETWEEN 7200 PRECEDING AND 600 FOLLOWING) AS n FROM events",
+        "SELECT event_id, COUNT(*) OVER (PARTITION BY event_type ORDER BY ts DESC RANGE BETWEEN INTERVAL '7200 seconds' PRECEDING AND INTERVAL '600 seconds' FOLLOWING) AS n FROM events",
+    ),
+    "ts_micros_bucket": (
+        "SELECT TIME_BUCKET('1 hour', 1700000000000000 + event_id * 1000000000) AS b, COUNT(*) AS n FROM events GROUP BY 1",
+        "SELECT floor((1700000000000000 + event_id * 1000000000) / 3600000000.0) * 3600000000.0 AS b, COUNT(*) AS n FROM events GROUP BY 1",
+    ),
     # the benchmark shapes
     "b1_point": "SELECT * FROM orders WHERE o_orderkey = 77",
     "b2_range": "SELECT * FROM orders WHERE o_orderkey BETWEEN 500 AND 1499",
@@ -217,47 +239,99 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(FLAGSHIP)(spark, sf_dir)
 
 
-#: Statements that change a copy of nation, and a SELECT that gives the table afterwards.
-DML: dict[str, tuple[list[str], str]] = {
-    "dml_insert": (
-        ["INSERT INTO t VALUES (100, 'ATLANTIS', 3), (101, NULL, -1)"],
-        "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT * FROM (VALUES (100, 'ATLANTIS', 3), (101, NULL, -1)) v",
-    ),
+#: Tables that statements change a copy of: columns, and sort key (none for bare).
+COPIES = {
+    "nation": ("n_nationkey BIGINT, n_name TEXT, n_regionkey BIGINT", " ORDER BY n_nationkey"),
+    "orders": ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus TEXT, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority TEXT", " ORDER BY o_orderkey"),
+    "events": ("event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type TEXT, value DOUBLE, props TEXT", " ORDER BY ts, event_id"),
+    "region": ("r_regionkey BIGINT, r_name TEXT", ""),
+}
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+#: Source, statements that change a copy t of it, a SELECT over t, and a SELECT over the source that gives the same.
+DML: dict[str, tuple[str, list[str], str, str]] = {
+    "dml_insert": ("nation", ["INSERT INTO t VALUES (100, 'ATLANTIS', 3), (101, NULL, -1)"], "SELECT * FROM t", _NATION + " UNION ALL SELECT * FROM (VALUES (100, 'ATLANTIS', 3), (101, NULL, -1)) v"),
     "dml_insert_default": (
+        "nation",
         ["INSERT INTO t (n_nationkey) VALUES (200)", "INSERT INTO t VALUES (201, DEFAULT, 5)"],
-        "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT * FROM (VALUES (200, NULL, NULL), (201, NULL, 5)) v",
+        "SELECT * FROM t",
+        _NATION + " UNION ALL SELECT * FROM (VALUES (200, NULL, NULL), (201, NULL, 5)) v",
+    ),
+    "dml_update": ("nation", ["UPDATE t SET n_name = 'X' WHERE n_regionkey = 2"], "SELECT * FROM t", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'X' ELSE n_name END AS n_name, n_regionkey FROM nation"),
+    "dml_update_sort_key": (
+        "nation",
+        ["UPDATE t SET n_nationkey = 999 WHERE n_nationkey = 3"],
+        "SELECT * FROM t",
+        "SELECT CASE WHEN n_nationkey = 3 THEN 999 ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey FROM nation",
     ),
-    "dml_update": (["UPDATE t SET n_name = 'X' WHERE n_regionkey = 2"], "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'X' ELSE n_name END AS n_name, n_regionkey FROM nation"),
-    "dml_update_sort_key": (["UPDATE t SET n_nationkey = 999 WHERE n_nationkey = 3"], "SELECT CASE WHEN n_nationkey = 3 THEN 999 ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey FROM nation"),
-    "dml_update_expr": (["UPDATE t SET n_regionkey = n_regionkey * 10 + 1"], "SELECT n_nationkey, n_name, n_regionkey * 10 + 1 AS n_regionkey FROM nation"),
-    "dml_delete": (["DELETE FROM t WHERE n_regionkey IN (1, 3) OR n_name LIKE 'A%'"], "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE NOT (n_regionkey IN (1, 3) OR n_name LIKE 'A%')"),
+    "dml_update_expr": ("nation", ["UPDATE t SET n_regionkey = n_regionkey * 10 + 1"], "SELECT * FROM t", "SELECT n_nationkey, n_name, n_regionkey * 10 + 1 AS n_regionkey FROM nation"),
+    "dml_delete": ("nation", ["DELETE FROM t WHERE n_regionkey IN (1, 3) OR n_name LIKE 'A%'"], "SELECT * FROM t", _NATION + " WHERE NOT (n_regionkey IN (1, 3) OR n_name LIKE 'A%')"),
     "dml_lifecycle": (
+        "nation",
         ["INSERT INTO t VALUES (50, 'NEW', 1)", "UPDATE t SET n_name = 'NEWER' WHERE n_nationkey = 50", "DELETE FROM t WHERE n_nationkey < 20"],
-        "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT 50, 'NEWER', 1",
+        "SELECT * FROM t",
+        _NATION + " WHERE n_nationkey >= 20 UNION ALL SELECT 50, 'NEWER', 1",
+    ),
+    # b11 and b12 of the benchmark, and reads by the sort key
+    "dml_orders_update": (
+        "orders",
+        ["UPDATE t SET o_orderstatus = 'Z', o_totalprice = o_totalprice + 1 WHERE o_orderkey BETWEEN 500 AND 1499"],
+        "SELECT * FROM t",
+        "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey BETWEEN 500 AND 1499 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, "
+        "CASE WHEN o_orderkey BETWEEN 500 AND 1499 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders",
+    ),
+    "dml_orders_delete": ("orders", ["DELETE FROM t WHERE o_orderkey BETWEEN 1000 AND 1099 AND o_orderstatus <> 'P'"], "SELECT * FROM t", "SELECT * FROM orders WHERE NOT (o_orderkey BETWEEN 1000 AND 1099 AND o_orderstatus <> 'P')"),
+    "dml_orders_point": ("orders", [], "SELECT * FROM t WHERE o_orderkey = 77", "SELECT * FROM orders WHERE o_orderkey = 77"),
+    "dml_events_update": (
+        "events",
+        ["UPDATE t SET value = value * 2 WHERE event_type = 'purchase' AND ts >= '2024-01-15'", "INSERT INTO t VALUES (-1, '2024-03-01 10:00:00', 7, 'view', 1.5, NULL)"],
+        "SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 3) AS s, MAX(ts) AS last FROM t GROUP BY event_type",
+        "SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 3) AS s, MAX(ts) AS last FROM (SELECT event_type, ts, CASE WHEN event_type = 'purchase' AND ts >= '2024-01-15' THEN value * 2 ELSE value END AS value "
+        "FROM events UNION ALL SELECT 'view', TIMESTAMP '2024-03-01 10:00:00', 1.5) x GROUP BY event_type",
+    ),
+    "dml_events_delete": ("events", ["DELETE FROM t WHERE ts < '2024-01-10' OR user_id IN (1, 2, 3)"], "SELECT event_id, user_id FROM t", "SELECT event_id, user_id FROM events WHERE NOT (ts < '2024-01-10' OR user_id IN (1, 2, 3))"),
+    "ddl_without_order": (
+        "region",
+        ["INSERT INTO t VALUES (9, 'NOWHERE')", "UPDATE t SET r_name = 'SOUTH' WHERE r_regionkey = 1", "DELETE FROM t WHERE r_regionkey = 2"],
+        "SELECT * FROM t",
+        "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'SOUTH' ELSE r_name END AS r_name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 9, 'NOWHERE'",
     ),
 }
 
 
-def _run_dml(statements: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+def copy_of(spark: SparkSession, sf_dir: str, source: str) -> Engine:
+    """An engine over a new catalog folder with t, a copy of a table; the folder goes when the driver ends."""
+    e = Engine(spark, f"{shared_dir(spark)}/quillon-catalog/{uuid.uuid4().hex}")
+    atexit.register(_remove, e)
+    columns, order = COPIES[source]
+    e.execute(f"CREATE TABLE t ({columns}){order}")
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    e.catalog.append("t", rows.select(*[F.col(f.name).cast(f.dataType) for f in e.catalog.schema("t").fields]))
+    return e
+
+
+def _remove(e: Engine) -> None:
+    try:
+        e.catalog.files.delete(e.catalog.root)
+    except Exception:  # the session is gone already; the folder's own retention clears the rest
+        return
+
+
+def _run_dml(source: str, statements: list[str], select: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-        e = Engine(spark, f"{root}/quillon-catalog/{uuid.uuid4().hex}")
-        e.execute("CREATE TABLE t (n_nationkey BIGINT, n_name TEXT, n_regionkey BIGINT) ORDER BY n_nationkey")
-        nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-        e.catalog.append("t", nation.selectExpr("cast(n_nationkey as bigint)", "n_name", "cast(n_regionkey as bigint)"))
+        e = copy_of(spark, sf_dir, source)
         for s in statements:
             e.execute(s)
-        return e.query("SELECT * FROM t")
+        return e.query(select)
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _run(q if isinstance(q, str) else q[0]) for name, q in QUERIES.items()}
-    return out | {name: _run_dml(s) for name, (s, _) in DML.items()}
+    return out | {name: _run_dml(*q[:3]) for name, q in DML.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: q if isinstance(q, str) else q[1] for name, q in QUERIES.items()}
-    wide = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM ({}) s"
-    return out | {name: wide.format(q) for name, (_, q) in DML.items()}
+    wide = {"nation": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM ({}) s", "region": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM ({}) s"}
+    return out | {name: wide.get(source, "{}").format(q) for name, (source, _, _, q) in DML.items()}

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from decimal import Decimal
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,12 +57,32 @@ def interval_micros(e: A.Expr) -> int:
     return int(total)
 
 
+def like_pattern(pattern: str, escape: str | None) -> str:
+    """The pattern in Spark's form, whose escape is the backslash. Without ESCAPE a backslash is an ordinary character."""
+    if escape is not None and len(escape) != 1:
+        raise PlanError("ESCAPE takes one character")
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == escape:
+            i += 1
+            if i == len(pattern):
+                raise PlanError("a pattern can't end with its escape")
+            c = pattern[i]
+            out += "\\" + c if c in "%_\\" else c
+        else:
+            out += "\\\\" if c == "\\" else c
+        i += 1
+    return out
+
+
 class Compiler:
     """Compiles over one frame. `known` maps nodes that exist as columns already (keys, aggregates, aliases)."""
 
     def __init__(self, df: DataFrame, known: dict[A.Expr, Column] | None = None, tie_break: list[str] | None = None):
         self.df, self.known, self.tie_break = df, known or {}, tie_break or []
         self._fields = {f.name.lower(): f for f in df.schema.fields}
+        self._kinds: dict[A.Expr, T.DataType] = {}
 
     def column(self, e: A.Expr) -> Column:
         if e in self.known:
@@ -76,7 +97,11 @@ class Compiler:
             return {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}.get(type(e.value), T.NullType())
         if isinstance(e, A.Ref) and e not in self.known and e.name.lower() in self._fields:
             return self._fields[e.name.lower()].dataType
-        return self.df.select(self.column(e)).schema[0].dataType
+        if isinstance(e, A.Cast):
+            return parse_type(e.type_name)
+        if e not in self._kinds:
+            self._kinds[e] = self.df.select(self.column(e)).schema[0].dataType
+        return self._kinds[e]
 
     def number(self, e: A.Expr) -> Column:
         """Text that holds numbers counts as numbers; other text as NULL."""
@@ -170,12 +195,20 @@ class Compiler:
         if not isinstance(pattern, A.Literal) or not isinstance(pattern.value, str):
             raise PlanError(f"{e.op} takes a literal pattern")
         if e.op == "RLIKE":
-            out = text.rlike(pattern.value)
+            # A pattern that is none matches nothing.
+            out = text.rlike(pattern.value) if self._is_pattern(pattern.value) else F.when(text.isNotNull(), False)
         else:
-            quoted = pattern.value.replace("\\", "\\\\")  # a backslash is an ordinary character
+            quoted = like_pattern(pattern.value, e.escape)
             out = text.like(quoted) if e.op == "LIKE" else text.ilike(quoted)
         return ~out if e.negated else out
 
+    def _is_pattern(self, pattern: str) -> bool:
+        try:
+            self.df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException:
+            return False
+        return True
+
     def _case(self, e: A.Case) -> Column:
         out = None
         for condition, value in e.branches:
@@ -243,8 +276,7 @@ class Compiler:
             raise PlanError("TIME_BUCKET takes a width, a value and perhaps an origin")
         kind = self.kind(args[1])
         if isinstance(kind, T.NumericType):
-            width = F.lit(interval_micros(args[0]) / 1_000_000)
-            return S.bucket_number(self.column(args[1]), width, self.number(args[2]) if len(args) == 3 else F.lit(0))
+            return S.bucket_number(self.column(args[1]), interval_micros(args[0]) / 1_000_000, self.number(args[2]) if len(args) == 3 else F.lit(0))
         at = self.column(args[1]).cast("timestamp_ntz")
         width = interval_micros(args[0])
         if len(args) == 2:
@@ -275,8 +307,10 @@ class Compiler:
             value = e.within[0].expr if e.within else args[1] if len(args) == 2 else None
             if value is None or not isinstance(args[0], A.Literal) or not 0 <= float(args[0].value) <= 1:
                 raise PlanError(f"{name} takes a literal between 0 and 1 and a value")
-            c = AGG.masked(self.number(value), where)
-            return AGG.percentile_cont(float(args[0].value), c) if name == "PERCENTILE_CONT" else AGG.percentile_disc(Decimal(str(args[0].value)), c)
+            c, down = AGG.masked(self.number(value), where), bool(e.within) and not e.within[0].ascending
+            if name == "PERCENTILE_CONT":
+                return AGG.percentile_cont(1 - float(args[0].value) if down else float(args[0].value), c)
+            return AGG.percentile_disc(Decimal(str(args[0].value)), c, down)
         if name == "APPROX_QUANTILE":
             self._arity(e, 2)
             return AGG.quantile_lower(AGG.masked(self.number(args[0]), where), float(args[1].value))
@@ -308,7 +342,9 @@ class Compiler:
         if e.distinct or e.within:
             raise Unsupported("DISTINCT or WITHIN GROUP in a window")
         spec: WindowSpec = Window.partitionBy(*map(self.column, over.partition))
-        order = [self.sort(i) for i in over.order]
+        timed = over.frame is not None and over.frame.unit == "RANGE" and len(over.order) == 1 and isinstance(self.kind(over.order[0].expr), (T.TimestampNTZType, T.TimestampType, T.DateType))
+        # A RANGE frame over time counts in microseconds.
+        order = [self.sort(i, F.unix_micros(self.column(i.expr).cast("timestamp")) if timed else None) for i in over.order]
         ranged = over.frame is not None and over.frame.unit == "RANGE" or name in ("RANK", "DENSE_RANK", "PERCENT_RANK", "CUME_DIST")
         named = {i.expr.name.lower() for i in over.order if isinstance(i.expr, A.Ref)}
         ties = [] if ranged else [F.col(f"`{c}`").asc_nulls_last() for c in self.tie_break if c.lower() not in named]
@@ -326,7 +362,7 @@ class Compiler:
         if name in ("LAG", "LEAD"):
             return self.shift(e, spec)
         if order:
-            spec = self.framed(spec, over.frame)
+            spec = self.framed(spec, over.frame, timed)
         if name in ("FIRST_VALUE", "LAST_VALUE"):
             return (F.first_value if name == "FIRST_VALUE" else F.last_value)(self.column(e.args[0])).over(spec)
         if name in AGG.NAMES:
@@ -334,21 +370,29 @@ class Compiler:
             return self.aggregate(plain).over(spec)
         raise Unsupported(f"{name} as a window function")
 
-    def framed(self, spec: WindowSpec, frame: A.Frame | None) -> WindowSpec:
+    def framed(self, spec: WindowSpec, frame: A.Frame | None, timed: bool = False) -> WindowSpec:
         """Without a frame: all rows before and the current one."""
         if frame is None:
             return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        start, end = self.bound(frame.start), self.bound(frame.end)
+        start, end = (self.bound(b, frame.unit == "RANGE", timed) for b in (frame.start, frame.end))
         return spec.rowsBetween(start, end) if frame.unit == "ROWS" else spec.rangeBetween(start, end)
 
-    def bound(self, b: A.Expr | str) -> int:
+    def bound(self, b: A.Expr | str, ranged: bool, timed: bool) -> int:
+        """Rows, or units of the key; over time, and as an INTERVAL, seconds."""
         if b == "CURRENT":
             return Window.currentRow
         if isinstance(b, str):
             return Window.unboundedPreceding if b.endswith("PRECEDING") else Window.unboundedFollowing
-        if not isinstance(b, A.Unary) or not isinstance(b.arg, A.Literal) or not isinstance(b.arg.value, (int, float)):
-            raise Unsupported("frame bounds other than numbers")
-        n = int(b.arg.value) if float(b.arg.value).is_integer() else b.arg.value
+        width = b.arg if isinstance(b, A.Unary) else None
+        if isinstance(width, A.Interval) and ranged or timed:
+            zero = isinstance(width, A.Literal) and width.value == 0
+            micros = 0 if zero else interval_micros(width)
+            n = micros if timed else micros / 1_000_000
+        elif isinstance(width, A.Literal) and isinstance(width.value, (int, float)):
+            n = width.value
+        else:
+            raise Unsupported("frame bounds other than numbers and, in RANGE, intervals")
+        n = int(n) if float(n).is_integer() else n
         return -n if b.op == "PRECEDING" else n
 
     def shift(self, e: A.Call, spec: WindowSpec) -> Column:

@@ -8,7 +8,7 @@ from conftest import DATA
 
 from quillon import cli
 from quillon.api import Engine
-from quillon.errors import ColumnMismatch, ParseError, PlanError, TableNotFound, Unsupported, ValueMismatch
+from quillon.errors import ColumnMismatch, OperationFailed, ParseError, PlanError, TableNotFound, Unsupported, ValueMismatch
 from quillon.plans.catalogue import engine
 from quillon.streaming.windows import bucket_counts
 
@@ -66,7 +66,7 @@ def test_a_failed_write_leaves_the_table_as_it_was(e):
     with pytest.raises(Exception):
         e.execute("UPDATE t SET id = CAST(v AS BIGINT)")
     assert got(e, "SELECT id, v FROM t") == [(1, "x")]
-    assert len(e.catalog.read("t")["folders"]) == 1
+    assert len(e.catalog.read("t")["files"]) == 1
 
 
 @pytest.mark.parametrize(
@@ -169,3 +169,114 @@ def test_random_queries(spark, duck):
             assert_same(e.query(sql), duck.sql(sql))
         except AssertionError as error:
             raise AssertionError(sql) from error
+
+
+# --- the write path
+
+
+def _orders(spark, root, files=8):
+    e = Engine(spark, str(root))
+    e.execute("CREATE TABLE t (o_orderkey BIGINT, o_orderstatus TEXT, o_totalprice DOUBLE) ORDER BY o_orderkey")
+    rows = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    with_parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(files))
+    try:
+        e.catalog.append("t", rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_parts)
+    return e
+
+
+def test_files_hold_ranges_of_the_sort_key(spark, tmp_path):
+    files = _orders(spark, tmp_path).catalog.read("t")["files"]
+    ranges = sorted((int(f["min"]), int(f["max"])) for f in files)
+    assert len(files) == 8 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert sum(f["rows"] for f in files) == 1500
+
+
+def test_a_point_change_rewrites_one_file_and_a_point_read_opens_one(spark, tmp_path):
+    e = _orders(spark, tmp_path)
+    key = e.query("SELECT MAX(o_orderkey) AS k FROM t").first().k
+    for sql in (f"UPDATE t SET o_totalprice = 0 WHERE o_orderkey = {key}", f"DELETE FROM t WHERE o_orderkey >= {key}"):
+        before = {f["path"] for f in e.catalog.read("t")["files"]}
+        e.execute(sql)
+        after = {f["path"] for f in e.catalog.read("t")["files"]}
+        assert len(before - after) == 1 and len(after - before) == 1
+    before = e.catalog.read("t")
+    e.execute("UPDATE t SET o_totalprice = 0 WHERE o_orderkey = -5")
+    assert e.catalog.read("t") == before
+    assert len(e.query("SELECT * FROM t WHERE o_orderkey = 1 AND o_totalprice > 0").inputFiles()) == 1
+    assert e.query("SELECT COUNT(*) AS n FROM t").first().n == 1499
+
+
+def test_a_frame_read_before_a_change_still_works(spark, tmp_path):
+    e = _orders(spark, tmp_path)
+    before = e.query("SELECT * FROM t")
+    e.execute("DELETE FROM t")
+    assert before.count() == 1500 and e.query("SELECT * FROM t").count() == 0
+    e.catalog.vacuum("t")
+    assert e.catalog.read("t")["dropped"] == []
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path):
+    e = _orders(spark, tmp_path)
+    m = e.catalog.read("t")
+    e.execute("INSERT INTO t VALUES (-1, 'x', 1.5)")
+    with pytest.raises(OperationFailed):
+        e.catalog._commit("t", m, [], [])
+    assert e.query("SELECT COUNT(*) AS n FROM t").first().n == 1501
+
+
+def test_small_files_are_merged(spark, tmp_path, monkeypatch):
+    from quillon.sources import catalog
+
+    monkeypatch.setattr(catalog, "SMALL_FILES", 4)
+    e = Engine(spark, f"file://{tmp_path}")
+    e.execute("CREATE TABLE t (id BIGINT, v TEXT) ORDER BY id")
+    for i in range(6):
+        e.execute(f"INSERT INTO t VALUES ({i}, NULL)")
+    assert len(e.catalog.read("t")["files"]) < 4 and sorted(r.id for r in e.query("SELECT id FROM t").collect()) == list(range(6))
+
+
+def test_key_ranges_with_nulls_nan_and_text(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.execute("CREATE TABLE d (x DOUBLE) ORDER BY x")
+    e.execute("INSERT INTO d VALUES (NULL)")
+    e.execute("INSERT INTO d VALUES ('NaN'), (1.5)")
+    assert len(e.query("SELECT x FROM d WHERE x > 100").collect()) == 1 and len(e.query("SELECT x FROM d WHERE x IS NULL").collect()) == 1
+    e.execute("CREATE TABLE s (x TEXT) ORDER BY x")
+    e.execute("INSERT INTO s VALUES ('10'), ('9'), ('b')")
+    assert sorted(r.x for r in e.query("SELECT x FROM s WHERE x >= 9").collect()) == ["10", "9"]
+    assert [r.x for r in e.query("SELECT x FROM s WHERE x > '9'").collect()] == ["b"]
+
+
+@pytest.mark.parametrize(
+    ("sql", "error"),
+    [
+        ("INSERT INTO t VALUES (1.9, 'x')", ValueMismatch),
+        ("SELECT no_such_function(a) FROM t", PlanError),
+        ("SELECT a FROM t GROUP BY ALL", ColumnMismatch),
+        ("SELECT 1", Unsupported),
+        ("SELECT DISTINCT b FROM t ORDER BY a", Unsupported),
+        ("SELECT b FROM t WHERE b LIKE 'x!' ESCAPE '!'", PlanError),
+        ("SELECT SUM(a) OVER (ORDER BY b RANGE BETWEEN b PRECEDING AND CURRENT ROW) FROM t", Unsupported),
+    ],
+)
+def test_more_errors(e, sql, error):
+    e.execute("CREATE TABLE t (a BIGINT, b TEXT)")
+    with pytest.raises(error):
+        e.execute(sql)
+
+
+def test_run_time_errors_are_the_engines(e, capsys):
+    e.execute("CREATE TABLE t (a BIGINT, b TEXT)")
+    e.execute("INSERT INTO t VALUES (1, 'x')")
+    e.flush_table("t")
+    with pytest.raises(ValueMismatch):
+        e.rows("SELECT CAST(b AS BIGINT) FROM t")
+    with pytest.raises(ValueMismatch):
+        cli.run(e, "SELECT CAST(b AS BIGINT) FROM t")
+    assert e.rows("SELECT TRY_CAST(b AS BIGINT) AS n FROM t") == [(None,)]
