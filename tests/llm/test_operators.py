@@ -460,6 +460,54 @@ def test_language_id_odd(odd, empty):
     assert op8_langid.label(odd, op8_langid.train(odd)).columns == [*odd.columns, "lang_pred", "lang_score"]
 
 
+def _plain_bayes(frame, held):
+    """Naive Bayes by dictionaries of n-grams' buckets, text by text."""
+    import collections
+    import math
+
+    def hits(text):
+        folded = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else " " for c in text)
+        for n in op8_langid.ORDERS:
+            for i in range(len(folded) - n + 1):
+                if folded[i : i + n].strip(" "):
+                    h = n
+                    for c in folded[i : i + n]:
+                        h = (h + ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    yield h >> 48
+
+    counts, labelled = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, text, lang in zip(frame.index, frame.text, frame.lang, strict=True):
+        if not held(i):
+            labelled[lang] += 1
+            counts[lang].update(hits(text))
+    total = {k: sum(c.values()) + op8_langid.SMOOTHING * op8_langid.BUCKETS for k, c in counts.items()}
+    out = {}
+    for i, text in zip(frame.index, frame.text, strict=True):
+        seen = list(hits(text))
+        logs = {k: math.log(labelled[k] / sum(labelled.values())) + sum(math.log((counts[k][b] + op8_langid.SMOOTHING) / total[k]) for b in seen) for k in sorted(counts)}
+        best = max(sorted(logs), key=logs.get)
+        out[i] = (best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())) if seen else ("und", 0.0)
+    return out
+
+
+def test_language_id_against_a_plain_classifier(spark, frame):
+    got = op8_langid.query(spark, DATA).toPandas().set_index("doc_id")
+    want = _plain_bayes(frame, lambda i: zlib.crc32(str(i).encode()) % 3 == 1)
+    for i, (lang, score) in want.items():
+        assert got.lang_pred[i] == lang and abs(got.score[i] - score) < 1e-3, i
+
+
+def test_batches_score_as_single_texts(monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choices("abc äöß ,.1", k=r.randrange(40))) for _ in range(200)] + ["", "x", "ab"]
+    logs = np.log(np.random.default_rng(1).random((op8_langid.BUCKETS, 3))).astype(np.float32)
+    single = [op8_langid.score_batch([t], logs) for t in texts]
+    monkeypatch.setattr(op8_langid, "_SPAN", 64)
+    monkeypatch.setattr(op8_langid, "_CELLS", 50)
+    total, hits = op8_langid.score_batch(texts, logs)
+    assert np.allclose(total, np.concatenate([x for x, _ in single])) and (hits == np.concatenate([n for _, n in single])).all()
+
+
 def test_buckets_do_not_depend_on_spans(monkeypatch):
     text = "Ein Satz, mit 3 Wörtern und mehr. " * 9
     whole = np.sort(op8_langid.buckets(text))
