@@ -3,7 +3,7 @@
 A word's encoding is first guessed by greedy longest match. A guess is right exactly if no merge
 would have happened across any boundary of two neighbouring tokens, which is a property of the
 pair alone. All pairs of a batch are tested at once in numpy; only words with a failing pair are
-merged step by step. Results are kept per chunk of text in a two-generation cache of bounded size.
+merged step by step. Results are kept per chunk of text in a two-generation cache, bounded by entries and characters.
 """
 
 from __future__ import annotations
@@ -195,24 +195,28 @@ class Encoder:
         "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
     }
 
-    def __init__(self, path: str, generation: int = 300_000):
+    def __init__(self, path: str, generation: int = 300_000, generation_chars: int = 8_000_000):
         self.table = MergeTable(path)
         self.kind = "words" if self.table.suffix else "bytes"
         self._piece = regex.compile(self.PIECES[self.kind])
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")") if self.table.special else None
         self._inner_space = re.compile(r" (?!\S)")
         self._boundary = re.compile(r" (?=\S)")
-        self.generation = generation
+        #: A generation of the cache ends with this many chunks or characters in it.
+        self.generation, self.generation_chars, self.held = generation, generation_chars, 0
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.exact_words = self.guessed_words = 0
         from tokenizers import Tokenizer
 
-        # Characters past this are left to the library: which of them are letters depends on its Unicode version.
+        # Which characters past this are letters depends on the library's Unicode version: its pre-tokenizer says
+        # where the pieces of such chunks end. They are encoded here like all others.
         self._rare = re.compile("[^\0-\u024f]")
-        self._library = Tokenizer.from_file(path)
+        library = Tokenizer.from_file(path)
+        self._pieces_of = library.pre_tokenizer.pre_tokenize_str
+        self._symbol = {c: chr(b) for c, b in _byte_characters().items()}
         if self.kind == "words":
-            self._normalise = self._library.normalizer.normalize_str
+            self._normalise = library.normalizer.normalize_str
 
     def chunks(self, text: str) -> list[str]:
         """For kind 'bytes' every chunk but the first stands for a space and the chunk; the first is marked by a NUL."""
@@ -234,6 +238,12 @@ class Encoder:
         s = piece.encode("utf-8", "replace").decode("latin-1")
         return s[:-1] + chr(ord(s[-1]) + 256) if self.kind == "words" else s
 
+    def _borders(self, part: str) -> list[str]:
+        """The words of a part by the file's own pre-tokenizer, whose pieces are written in stand-ins for bytes."""
+        found = self._pieces_of(self._normalise(part) if self.kind == "words" else part)
+        words = ["".join(map(self._symbol.__getitem__, piece)) for piece, _ in found]
+        return [w[:-1] + chr(ord(w[-1]) + 256) for w in words] if self.kind == "words" else words
+
     def _learn(self, chunks: list[str]) -> None:
         words: dict[str, int] = {}
         plans: list[list[int]] = []
@@ -243,14 +253,15 @@ class Encoder:
             if chunk.isalpha() and (raw.isascii() or not self._rare.search(raw)) and not lower:
                 plans.append([number(symbols(raw), len(words))])  # letters only: one piece
                 continue
-            if not raw.isascii() and self._rare.search(raw):
-                plans.append([-1 - i for i in self._library.encode(raw, add_special_tokens=False).ids])
-                continue
             plan: list[int] = []
+            borders = None if raw.isascii() or not self._rare.search(raw) else self._borders
             for k, part in enumerate(self._cut.split(raw) if self._cut and "<" in raw else [raw]):
                 if k % 2:
                     plan.append(-1 - self.table.special[part])
                     continue
+                if borders:
+                    plan += [number(w, len(words)) for w in borders(part)]
+                    continue
                 if lower:
                     part = part.lower() if part.isascii() else self._normalise(part)
                 plan += [number(symbols(p), len(words)) for p in find(part)]
@@ -297,9 +308,10 @@ class Encoder:
             for c in known:
                 young[c] = old[c]
             self._learn(list(new.difference(known)))
+            self.held += sum(map(len, new))
         out = [list(chain.from_iterable(map(young.__getitem__, chunks))) for chunks in group]
-        if len(young) > self.generation:
-            self.old, self.young = young, {}
+        if len(young) > self.generation or self.held > self.generation_chars:
+            self.old, self.young, self.held = young, {}, 0
         return out
 
     def decode(self, ids: list[int]) -> str:

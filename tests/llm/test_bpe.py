@@ -24,6 +24,19 @@ def test_encodes_like_the_library(name):
     assert own.exact_words and own.guessed_words
 
 
+SCRIPTS = ["Мама мыла раму", "今日は天気がいいですね", "안녕하세요 세계", "שלום עולם", "مرحبا بالعالم ١٢٣", "नमस्ते दुनिया", "ภาษาไทย", "Ελληνικά ΣΑΣ", "𝔘𝔫𝔦 𝟙𝟚", "e\u0301 \u2028 \u3000x", "ﬁ ½ Ⅷ ²", "\u200b a\u200d", "ꙮ ᏣᎳᎩ", "\U0001f469\u200d\U0001f469"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_scripts_are_merged_here(name):
+    r = random.Random(11)
+    alphabet = sorted(set("".join(SCRIPTS)) | set(" ab'st.,1<|>"))
+    texts = SCRIPTS + ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(1500)] + ["Ω<|endoftext|>Ж ж"]
+    library, own = Tokenizer.from_file(P.path(name)), bpe.Encoder(P.path(name), generation=80, generation_chars=2000)
+    assert own.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert not any(isinstance(x, Tokenizer) for x in vars(own).values())
+
+
 def test_decodes_like_the_library():
     library, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.Encoder(P.path("byte_bpe_50k.json"))
     for text, ids in zip(_samples(), own.encode(_samples()), strict=True):
