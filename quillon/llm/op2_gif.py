@@ -25,6 +25,8 @@ WIDTH = 24
 #: Rows of a frame; a longer payload has more frames.
 ROWS = 960
 DELAY_CS = 10
+#: A screen or frame of more pixels counts as damage: its header alone would fill memory.
+MOST_PIXELS = 1 << 26
 
 
 # --- encoding
@@ -199,6 +201,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
     if data[:4] != b"GIF8":
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("too large a screen")
     at, shared = 13, np.zeros(256, np.uint32)
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
@@ -215,11 +219,15 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         if data[at] != 0x2C:
             raise ValueError("unknown block")
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MOST_PIXELS:
+            raise ValueError("too large a frame")
         at += 10
         palette = shared
         if local & 0x80:
             palette, at = _palette(data, at, local)
         literal_bits = data[at]
+        if not 1 <= literal_bits <= 8:
+            raise ValueError("no code size")
         stream, at = _collect(data, at + 1)
         indices = lzw_decode(stream, literal_bits, w * h).reshape(h, w)
         if local & 0x40:
@@ -244,12 +252,17 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         disposal, delay, clear_index = 0, 0, None
 
 
+#: What decode_gif raises at damaged files.
+DAMAGE = (ValueError, IndexError, struct.error)
+
+
 # --- columns
 
 
 def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media binary): each whole text's UTF-8 bytes, filled with 255 to a positive multiple of 576,
-    as a GIF. Null text: as empty. Each row is alone in its work: copies and hot keys cost nothing extra."""
+    as a GIF. Null text: as empty. Empty table: empty. Each row is alone in its work: copies and hot keys cost
+    nothing extra; a very long text is one file of many frames."""
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,7 +278,9 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def frames(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each frame: (id, frame, start_ms, delay_ms, width, height, screen binary of RGBA, histogram)."""
+    """One row for each frame: (id, frame, start_ms, delay_ms, width, height, screen binary of RGBA, histogram, error).
+    Null media has no rows. A damaged file has the frames before the damage, then a row whose error says what it
+    is and whose other columns are null but id and frame."""
     small_batches(media.sparkSession, 200)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,41 +288,64 @@ def frames(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows = []
             for i, data in zip(pdf[id_col], pdf["media"], strict=True):
                 begin = 0
-                for k, f in enumerate(decode_gif(data) if data is not None else ()):
-                    rgba = (f.screen << np.uint32(8) | f.screen >> np.uint32(24)).astype(">u4").tobytes()
-                    rows.append((i, k, begin, f.delay_ms, f.screen.shape[1], f.screen.shape[0], rgba, f.histogram().tolist()))
-                    begin += f.delay_ms
-            yield pd.DataFrame(rows, columns=[id_col, "frame", "start_ms", "delay_ms", "width", "height", "screen", "histogram"])
+                k = 0
+                try:
+                    for f in decode_gif(data) if data is not None else ():
+                        rgba = (f.screen << np.uint32(8) | f.screen >> np.uint32(24)).astype(">u4").tobytes()
+                        rows.append((i, k, begin, f.delay_ms, f.screen.shape[1], f.screen.shape[0], rgba, f.histogram().tolist(), None))
+                        begin += f.delay_ms
+                        k += 1
+                except DAMAGE as error:
+                    rows.append((i, k, None, None, None, None, None, None, str(error) or type(error).__name__))
+            made = pd.DataFrame(rows, columns=[id_col, "frame", "start_ms", "delay_ms", "width", "height", "screen", "histogram", "error"], dtype=object)
+            yield made.astype({"start_ms": "Int64", "delay_ms": "Int64", "width": "Int64", "height": "Int64"})
 
     kind = media.schema[id_col].dataType.simpleString()
-    return keep_columns(media, id_col, "media").mapInPandas(run, f"`{id_col}` {kind}, frame int, start_ms bigint, delay_ms bigint, width int, height int, screen binary, histogram array<bigint>")
+    return keep_columns(media, id_col, "media").mapInPandas(run, f"`{id_col}` {kind}, frame int, start_ms bigint, delay_ms bigint, width int, height int, screen binary, histogram array<bigint>, error string")
+
+
+def _bins(histogram: np.ndarray) -> str:
+    return ",".join(f"{b}:{v}" for b, v in enumerate(histogram) if v)
 
 
 def read_payloads(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests of the payload read back from each GIF, of the GIF, and a feature: frames, length in ms and the
-    colour histogram added up over the frames."""
+    colour histogram added up over the frames; frames: of each frame its start and delay in ms and its own colour
+    histogram; error. Null media: all null but the id, n_bytes and error. A damaged file: no payload and no
+    feature, digest and size of the file itself, and error says what is wrong. Empty table: empty. Rows that repeat:
+    one result each. A file is read frame by frame, so its length costs no memory beyond its bytes and a screen."""
     small_batches(media.sparkSession, 500)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, n, data in zip(pdf[id_col], pdf["n_bytes"], pdf["media"], strict=True):
-                digest, size, tail, ms, shown, hist = hashlib.sha256(), 0, b"", 0, 0, np.zeros(64, np.int64)
-                for f in decode_gif(data):
-                    part = f.colours.astype(np.uint8).tobytes()  # the low byte of a grey is its sample
-                    digest.update(part)
-                    size += len(part)
-                    tail = (tail + part)[-32:]
-                    hist += f.histogram()
-                    ms += f.delay_ms
-                    shown += 1
-                feature = f"frames={shown};ms={ms};hist=" + ",".join(f"{b}:{v}" for b, v in enumerate(hist) if v)
-                rows.append((i, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                if data is None:
+                    rows.append((i, n, None, None, None, None, None, None, None, "no media"))
+                    continue
+                digest, size, tail, ms, hist, timed = hashlib.sha256(), 0, b"", 0, np.zeros(64, np.int64), []
+                stored = len(data), hashlib.sha256(data).hexdigest()
+                try:
+                    for f in decode_gif(data):
+                        part = f.colours.astype(np.uint8).tobytes()  # the low byte of a grey is its sample
+                        digest.update(part)
+                        size += len(part)
+                        tail = (tail + part)[-32:]
+                        own = f.histogram()
+                        timed.append(f"{ms}+{f.delay_ms}={_bins(own)}")
+                        hist += own
+                        ms += f.delay_ms
+                except DAMAGE as error:
+                    rows.append((i, n, None, None, None, *stored, None, None, str(error) or type(error).__name__))
+                    continue
+                feature = f"frames={len(timed)};ms={ms};hist={_bins(hist)}"
+                rows.append((i, n, size, digest.hexdigest(), zlib.crc32(tail), *stored, feature, ";".join(timed), None))
+            made = pd.DataFrame(rows, columns=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "error"], dtype=object)
+            yield made.astype({"n_bytes": "Int64", "payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
 
     kind = media.schema[id_col].dataType.simpleString()
     return keep_columns(media, id_col, "n_bytes", "media").mapInPandas(
-        run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+        run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, frames string, error string"
     )
 
 

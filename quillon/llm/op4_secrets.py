@@ -2,8 +2,9 @@
 
 Each kind's pattern gives spans in every whole text; offsets come from the lengths of the matches and of
 the text between them. The value in each span is hashed, and for every hash the distinct owners and
-repositories that hold it are counted over the whole corpus: values that several owners share are copied
-examples, values of one owner look live. Base spans always stay; opaque strings are added only if they look live.
+repositories that hold it are counted over the whole corpus: values of several owners or of many repositories
+are copied examples, values of few repositories of one or two owners look live. A repository is a text of an owner, so
+copies of one document count once. Base spans always stay; opaque strings are added only if they look live.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, table
+from quillon.llm.common import free_name, materialise, table
 
 #: Kinds in order: name, pattern, group that holds the value, least length of that group, pattern that a
 #: text must hold for the kind to be looked for (fixed values).
@@ -25,6 +26,8 @@ KINDS = [
 BASE = 3
 #: Owners from which on a value counts as a copied example.
 EXAMPLE_OWNERS = 3
+#: Repositories from which on it does, whoever owns them: an example spread through one owner's texts.
+EXAMPLE_REPOS = 25
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:bigint>>"
 
@@ -49,27 +52,34 @@ def _spans(text: Column, number: int) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(id, owner, spans, sorted by start and kind). Null text: as empty. A null owner is one owner of its own."""
+    """(id, owner, repo, spans, sorted by start and kind). Null text: as empty. A null owner is one owner of its own.
+    A text of any length is searched whole. Repeated rows: one each."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("\0")).alias("owner"), text.alias("text"))
-    found = rows.select("id", "owner", *[_spans(F.col("text"), k).alias(f"k{k}") for k in range(len(KINDS))])
-    return found.select("id", "owner", F.array_sort(F.concat(*[F.col(f"k{k}") for k in range(len(KINDS))])).alias("spans"))
+    found = rows.select("id", "owner", F.xxhash64("text").alias("repo"), *[_spans(F.col("text"), k).alias(f"k{k}") for k in range(len(KINDS))])
+    return found.select("id", "owner", "repo", F.array_sort(F.concat(*[F.col(f"k{k}") for k in range(len(KINDS))])).alias("spans"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(value, n_repos, n_owners) over all rows: a repository is a document of an owner. Counts are added up
-    step by step (value, owner, repository; value, owner; value), so a value that a third of all documents
-    hold shrinks on the map side before it meets."""
-    one = spans.select("id", "owner", F.explode("spans").alias("s")).select(F.col("s.value").alias("value"), "owner", "id").groupBy("value", "owner", "id").agg(F.lit(1).alias("x"))
+    """(value, n_repos, n_owners) over all rows. Counts are added up step by step (value, owner, repository;
+    value, owner; value), so a value that a third of all documents hold shrinks on the map side before it meets."""
+    one = spans.select("repo", "owner", F.explode("spans").alias("s")).select(F.col("s.value").alias("value"), "owner", "repo").groupBy("value", "owner", "repo").agg(F.lit(1).alias("x"))
     owners = one.groupBy("value", "owner").agg(F.count("*").alias("repos"))
     return owners.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def live_values(spans: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """(id, live: the values of the document that fewer than `example_owners` owners hold)."""
-    pairs = spans.select("id", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    known = ownership(spans).filter(F.col("n_owners") < example_owners).select("value")
-    return pairs.join(known, "value").groupBy("id").agg(F.collect_set("value").alias("live")).withColumnRenamed("id", "live_id")
+def live_values(spans: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """(live_id, live_repo, live, most_owners, most_repos) of documents with spans: the values that look live, and
+    how widely the most copied value is held."""
+    pairs = spans.select("id", "repo", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
+    known = ownership(spans).withColumn("is_live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
+    told = pairs.join(known, "value").groupBy(F.col("id").alias("live_id"), F.col("repo").alias("live_repo"))
+    return told.agg(F.collect_set(F.when(F.col("is_live"), F.col("value"))).alias("live"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
+
+
+def _with_live(found: DataFrame) -> DataFrame:
+    live = live_values(found.filter(F.size("spans") > 0))
+    return found.join(live, F.col("id").eqNullSafe(F.col("live_id")) & (F.col("repo") == F.col("live_repo")), "left")
 
 
 def _names(spans: Column) -> Column:
@@ -78,37 +88,37 @@ def _names(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row for each document: counts of base spans, digest of them, all spans, and how many look live.
-    Repeated rows: one result each. An empty table gives no rows."""
+    """One row for each document: counts of base spans, digest of them, all spans, how many look live, and the
+    owners and repositories of its most widely held value. Null text: as empty. Repeated rows: one result each. An
+    empty table gives no rows. Only the three columns named are read."""
     found = materialise(find_spans(docs, id_col, text_col, owner_col), "spans")
-    live = live_values(found.filter(F.size("spans") > 0))
-    both = found.join(live, F.col("id").eqNullSafe(F.col("live_id")), "left").withColumn("live", F.coalesce("live", F.array().cast("array<bigint>")))
-    base = F.filter("spans", lambda s: s["kind"] < BASE)
+    both = _with_live(found).withColumn("live", F.coalesce("live", F.array().cast("array<bigint>")))
     kept = F.filter("spans", lambda s: (s["kind"] < BASE) | F.array_contains(F.col("live"), s["value"]))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return both.select(
         F.col("id").alias(id_col),
         *[count(k).alias(f"n_{KINDS[k][0]}") for k in range(BASE)],
-        F.sha2(_names(base), 256).alias("base_sha256"),
+        F.sha2(_names(F.filter("spans", lambda s: s["kind"] < BASE)), 256).alias("base_sha256"),
         _names(kept).alias("spans"),
         F.size(F.filter("spans", lambda s: F.array_contains(F.col("live"), s["value"]))).cast("long").alias("n_live"),
+        F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"),
     )
 
 
 def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mask: str = MASK) -> DataFrame:
     """The documents with all columns; in text, every span whose value looks live is replaced by `mask`
-    (overlapping spans by one). Copied examples stay. A null text stays null."""
-    found = materialise(find_spans(docs, id_col, text_col, owner_col), "spans")
-    live = live_values(found.filter(F.size("spans") > 0))
-    hit = (
-        found.join(live, F.col("id").eqNullSafe(F.col("live_id")))
-        .select("id", F.filter("spans", lambda s: F.array_contains(F.col("live"), s["value"])).alias("hits"))
-        .groupBy("id")
-        .agg(F.collect_list("hits").alias("each"))
-        .select(F.col("id").alias("live_id"), "each")
-    )
-    both = docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("live_id")), "left")
+    (overlapping spans by one). Copied examples stay. A null text stays null. Rows that repeat an id are masked
+    by their own texts. Other columns may have any names."""
+    used = [c.lower() for c in docs.columns]
+    hit_id, hit_repo, hits = (free_name(used, c) for c in ("hit_id", "hit_repo", "hits"))
+    found = materialise(find_spans(docs, id_col, text_col, owner_col), "spans").filter(F.size("spans") > 0)
+    live = _with_live(found).select("id", "repo", F.filter("spans", lambda s: F.array_contains(F.col("live"), s["value"])).alias("spans"))
+    # Rows repeated whole have the same spans.
+    hit = live.filter(F.size("spans") > 0).groupBy(F.col("id").alias(hit_id), F.col("repo").alias(hit_repo)).agg(F.first("spans").alias(hits))
     text = F.col(f"`{text_col}`")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(hit_repo))
+    both = docs.join(hit, same, "left")
 
     def cut(state: Column, s: Column) -> Column:
         before = text.substr(state["at"] + 1, s["start"] - state["at"])
@@ -116,17 +126,15 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    # Rows that share an id share their hits; those that lie past a row's own text change nothing.
-    own = F.filter(F.array_sort(F.array_distinct(F.flatten("each"))), lambda s: s["stop"] <= F.length(text))
-    masked = F.aggregate(own, start, cut, lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text))))
-    return both.select(*[F.when(F.col("each").isNull(), text).otherwise(masked).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    masked = F.aggregate(F.array_sort(hits), start, cut, lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text))))
+    return both.select(*[F.when(F.col(hits).isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_FOUND = """SELECT doc_id, source, {number} AS kind, '{name}' AS name, {least} AS least, regexp_extract_all(text, '{pattern}', 0) AS ms,
+_FOUND = """SELECT doc_id, source, text, {number} AS kind, '{name}' AS name, {least} AS least, regexp_extract_all(text, '{pattern}', 0) AS ms,
   regexp_extract_all(text, '{pattern}', {group}) AS vs, string_split_regex(text, '{pattern}') AS gs FROM texts"""
 #: DuckDB's patterns have no look-around: hex runs are whole anyway, opaque ones are told by what they hold.
 _PLAIN = {"hex": r"[0-9a-f]{24,}", "opaque": r"[A-Za-z0-9+/_-]{24,}"}
@@ -136,25 +144,28 @@ ORACLE = (
     + "\nUNION ALL\n".join(_FOUND.format(number=k, name=name, least=least, group=group, pattern=_PLAIN.get(name, pattern).replace("'", "''")) for k, (name, pattern, group, least, _) in enumerate(KINDS))
     + """),
 each AS (
-  SELECT doc_id, source, kind, name, ms[i] AS m, vs[i] AS v, least,
+  SELECT doc_id, source, text, kind, name, ms[i] AS m, vs[i] AS v, least,
     coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found)
 ),
 spans AS (
-  SELECT doc_id, source, kind, name, v, CAST(start AS BIGINT) AS start, CAST(start + length(m) AS BIGINT) AS stop FROM each
+  SELECT doc_id, source, text, kind, name, v, CAST(start AS BIGINT) AS start, CAST(start + length(m) AS BIGINT) AS stop FROM each
   WHERE length(v) >= least AND (kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')))
 ),
-owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n FROM spans GROUP BY v),
-told AS (SELECT s.*, o.n < """
+owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n, count(DISTINCT {'o': coalesce(source, chr(1)), 't': text}) AS r FROM spans GROUP BY v),
+told AS (SELECT s.*, o.n AS n_owners, o.r AS n_repos, o.n < """
     + str(EXAMPLE_OWNERS)
+    + " AND o.r < "
+    + str(EXAMPLE_REPOS)
     + """ AS live, s.name || ':' || s.start || ':' || s.stop AS said FROM spans s JOIN owners o ON o.v = s.v),
 sums AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
     string_agg(said, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind) FILTER (WHERE kind < 3 OR live) AS spans,
-    count(*) FILTER (WHERE live) AS n_live FROM told GROUP BY doc_id
+    count(*) FILTER (WHERE live) AS n_live, max(n_owners) AS most_owners, max(n_repos) AS most_repos FROM told GROUP BY doc_id
 )
 SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM texts t LEFT JOIN sums ON sums.doc_id = t.doc_id
 """
 )

@@ -191,6 +191,27 @@ def test_gif_against_a_plain_lzw_decoder():
         assert op2_gif.lzw_decode(op2_gif.pack_codes(codes), 8, len(data)).tobytes() == data
 
 
+def test_damaged_and_missing_gifs(spark):
+    r = random.Random(3)
+    good = op2_gif.encode_gif(bytes(r.randrange(256) for _ in range(5760)) * 5)
+    rows = [(0, 10, good), (1, 10, None), (2, 10, b""), (3, 10, b"not a gif at all"), (4, 10, good[: len(good) // 2]), (5, 10, b"GIF89a" + b"\xff" * 40)]
+    for i in range(120):
+        data = bytearray(good)
+        for _ in range(r.randrange(1, 4)):
+            data[r.randrange(len(data))] = r.randrange(256)
+        rows.append((6 + i, 10, bytes(data[: r.randrange(20, len(data) + 1)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")
+    got = op2_gif.read_payloads(df).toPandas().set_index("doc_id")
+    assert len(got) == len(rows) and got.error[0] is None and got.feature[0].startswith("frames=2;ms=200;")
+    assert got.frames[0].count(";") == 1 and got.frames[0].startswith("0+100=")
+    for i in (1, 2, 3, 5):
+        assert got.error[i] and got.payload_sha256[i] is None
+    each = op2_gif.frames(df).toPandas()
+    assert each[each.doc_id == 0].error.isna().all() and len(each[each.doc_id == 0]) == 2 and not len(each[each.doc_id == 1])
+    assert each[each.doc_id == 3].error.notna().all()
+    assert op2_gif.read_payloads(df.limit(0)).count() == 0
+
+
 # --- 3
 
 
@@ -268,6 +289,60 @@ def test_secrets_ownership(spark):
     assert text[0] == rows[0][1] and text[9] == "é [SECRET]' tail"
 
 
+def test_secrets_of_one_owner_in_many_repositories(spark):
+    """An example in 25 texts of one owner is copied widely; copies of one text are one repository."""
+    rows = [(i, f"text {i} has token = 'spread0123456789' here", "owner") for i in range(op4_secrets.EXAMPLE_REPOS)]
+    rows += [(100 + i, "one text with token = 'often0123456789'", "owner") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.n_live, r.most_owners, r.most_repos) for r in op4_secrets.scan(df).collect()}
+    assert got[0] == (0, 1, 25) and got[100] == (1, 1, 1)
+
+
+def test_masking_of_repeated_ids(spark):
+    rows = [(1, "token = 'aaaaaa111111'", "o"), (1, "nothing in here, at all, my friend", "o"), (1, "token = 'aaaaaa111111'", "o"), (None, "token = 'bbbbbb222222'", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((str(r.doc_id), r.text) for r in op4_secrets.mask_live(df).collect())
+    assert got == [("1", "[SECRET]'"), ("1", "[SECRET]'"), ("1", rows[1][1]), ("None", "[SECRET]'")]
+
+
+def _clashing(df, module):
+    """The frame with a column of each name that the operator's source quotes."""
+    from pathlib import Path
+
+    from quillon.llm import common, components as c
+
+    source = "".join(Path(m.__file__).read_text() for m in (module, common, c))
+    names = sorted({n.lower() for n in re.findall(r"""["'](\w+)["']""", source) if re.fullmatch(r"[a-z][a-z0-9_]*", n)} - {x.lower() for x in df.columns})
+    return df.select("*", *[F.lit(n).alias(n) for n in names])
+
+
+@pytest.mark.parametrize(
+    ("module", "run"),
+    [
+        (op4_secrets, lambda d: op4_secrets.mask_live(d)),
+        (op4_secrets, lambda d: op4_secrets.scan(d)),
+        (op7_minhash, lambda d: op7_minhash.remove(d)),
+        (op7_minhash, lambda d: op7_minhash.near_duplicates(d)),
+        (op8_langid, lambda d: op8_langid.label(d, op8_langid.train(d))),
+        (op9_lines, lambda d: op9_lines.dedup(d)),
+        (op1_packing, lambda d: op1_packing.pack(d, BYTES, RANKS)),
+        (op2_gif, lambda d: op2_gif.read_payloads(op2_gif.store_payloads(d))),
+        (op3_backoff, lambda d: op3_backoff.score_documents(d, F.lit(False))),
+        (op6_bpe, lambda d: op6_bpe.round_trip(d, BYTES)),
+    ],
+)
+def test_columns_named_as_inner_ones(spark, module, run):
+    df = spark.createDataFrame([r[:4] for r in ROWS if r[1] != LONG], "doc_id bigint, text string, lang string, source string")
+    plain, wide = run(df), run(_clashing(df, module))
+    key = lambda frame: sorted(str([r[c] for c in plain.columns]) for r in frame.select(*[f"`{c}`" for c in plain.columns if c in frame.columns]).collect()) if set(plain.columns) <= set(wide.columns) else None
+    if module is op9_lines:  # its counts take other names
+        assert {"n_lines_", "n_removed_"} <= set(wide.columns)
+    if module is op8_langid:
+        assert wide.count() == plain.count()
+        return
+    assert key(wide.select(*[c if c not in ("n_lines", "n_removed") else F.col(c + "_").alias(c) for c in plain.columns]) if module is op9_lines else wide) == key(plain)
+
+
 def test_secrets_odd(odd, empty):
     assert op4_secrets.scan(odd).count() == len(ROWS) and op4_secrets.scan(empty).count() == 0
     out = op4_secrets.mask_live(odd)
