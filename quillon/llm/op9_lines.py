@@ -53,7 +53,7 @@ def _words(norm: str = "norm") -> str:
 def _tokens() -> str:
     """The line's distinct tokens by hash, as SQL. The line's words are bound to w once; they are never a column,
     which would copy them."""
-    run = ", ".join(f"get(w, i + {k})" for k in range(WORDS))
+    run = ", ".join(f"w[i + {k}]" for k in range(WORDS))
     runs = f"transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({run}))"
     return f"transform(array({_words()}), w -> IF(size(w) < {WORDS}, cast(array() as array<bigint>), sort_array(array_distinct({runs}))))[0]"
 

@@ -215,23 +215,62 @@ def test_damaged_and_missing_gifs(spark):
 # --- 3
 
 
+class _Automaton:
+    """The same model as states and arcs in dictionaries, walked word by word."""
+
+    def __init__(self, texts):
+        self.count = collections.Counter()
+        for w in texts:
+            two = [None, *w]
+            self.count.update((x,) for x in w)
+            self.count.update(zip(two, w, strict=False))
+            self.count.update(zip(two, w, w[1:], strict=False))
+        self.n = sum(k for h, k in self.count.items() if len(h) == 1)
+        self.v = sum(len(h) == 1 for h in self.count)
+        self.states = {h for h, k in self.count.items() if len(h) == 2 and k >= 2}
+
+    def left(self, h):
+        return 1 - 0.3 * self.count[h] / (self.count[h] + 5)
+
+    def arc(self, h, w):
+        """Probability on the arc for w, or None."""
+        if not h:
+            return (self.count[w,] + 1) / (self.n + self.v + 1)
+        if not self.count[*h, w] or (len(h) == 2 and (h[1], w) not in self.states):
+            return None
+        return (1 - self.left(h)) * self.count[*h, w] / self.count[h] + self.left(h) * self.read(h[1:], w)
+
+    def read(self, h, w):
+        p = self.arc(h, w)
+        return self.left(h) * self.read(h[1:], w) if p is None else p
+
+    def score(self, w):
+        state, total = (None,), 0.0
+        for k, x in enumerate(w):
+            total += math.log10(self.read(state, x))
+            state = (state[-1], x) if (state[-1], x) in self.states else (x,)
+        return total
+
+
 def test_backoff_scores(spark, frame):
     got = op3_backoff.query(spark, DATA).toPandas().set_index("doc_id")
     words = {i: [*t.encode().lower().split(), None] for i, t in frame.text.items()}
     train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in words}
-    one, two = collections.Counter(), collections.Counter()
-    for i, w in words.items():
-        if train[i]:
-            one.update(w)
-            two.update(zip([None, *w[:-1]], w, strict=True))
-    n, v = sum(one.values()), len(one)
+    model = _Automaton([w for i, w in words.items() if train[i]])
+    better = 0
     for i, w in words.items():
-        p = {x: (one[x] + 1) / (n + v + 1) for x in w}
-        m = lambda h: 0.3 * one[h] / (one[h] + 5)
-        score = sum(math.log10((m(h) * two[h, x] / one[h] if one[h] else 0) + (1 - m(h)) * p[x]) for h, x in zip([None, *w[:-1]], w, strict=True))
         g = got.loc[i]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (not train[i], len(w), sum(one[x] > 0 for x in w), n)
-        assert math.isclose(g.base_score, sum(math.log10(p[x]) for x in w), rel_tol=1e-9) and math.isclose(g.score, score, rel_tol=1e-9)
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (not train[i], len(w), sum(model.count[x,] > 0 for x in w), model.n)
+        assert math.isclose(g.base_score, sum(math.log10((model.count[x,] + 1) / (model.n + model.v + 1)) for x in w), rel_tol=1e-9)
+        assert math.isclose(g.score, model.score(w), rel_tol=1e-9)
+        better += g.score > g.base_score
+    assert better > 0.9 * len(words) and any(len(h) == 3 and k > 2 for h, k in model.count.items())
+
+
+def test_planes():
+    r = np.random.default_rng(2)
+    keys = np.sort(r.integers(0, 1 << 64, 1000, dtype=np.uint64))
+    assert (op3_backoff.from_planes(op3_backoff.planes(keys)) == keys).all() and not len(op3_backoff.from_planes(op3_backoff.planes(keys[:0])))
 
 
 def test_backoff_blocks_and_odd(odd, empty):
