@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": op4_secrets.ORACLE, "op9_lines": op9_lines.ORACLE}
+    return {"op4_secrets": op4_secrets.ORACLE, "op5_crosspolytope": op5_crosspolytope.ORACLE, "op7_minhash": op7_minhash.ORACLE, "op9_lines": op9_lines.ORACLE}

@@ -425,6 +425,33 @@ def test_cross_polytope_counts_links_of_negative_ids(spark):
     assert {r.n_links for r in want} == {3}
 
 
+def test_embeddings_against_sql(spark, duck):
+    assert_same(op5_crosspolytope.query(spark, DATA), duck.sql(op5_crosspolytope.ORACLE))
+
+
+@pytest.mark.parametrize("dim", [64, 100])
+def test_cross_polytope_finds_pairs_at_the_threshold(spark, dim):
+    """Every vector has one partner just above 0.98, among many strangers of its label: recall against brute force."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(1500, dim))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    y = r.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    near = 0.9801 * x + np.sqrt(1 - 0.9801**2) * y
+    both = np.concatenate([x, near])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id bigint, embedding array<double>, label int")
+    got = op5_crosspolytope.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+    unit = both / np.sqrt((both * both).sum(axis=1, keepdims=True))
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() >= 3000 and got.n_links.sum() >= 0.999 * want.sum() and (got.n_links.to_numpy() <= want).all()
+
+
+def test_layout_follows_the_size():
+    few, many = op5_crosspolytope.layout(200, 64, 0.98), op5_crosspolytope.layout(10**9, 64, 0.98)
+    assert few[0] == 2 < many[0] <= 8 and few[1] < many[1] < 30
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose((op5_crosspolytope.hadamard(x) ** 2).sum(axis=1), (x**2).sum(axis=1))
@@ -557,6 +584,10 @@ def test_components(spark):
     assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_minhash_against_sql(spark, duck):
+    assert_same(op7_minhash.query(spark, DATA), duck.sql(op7_minhash.ORACLE))
+
+
 # --- 8
 
 
