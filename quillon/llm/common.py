@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,24 @@ _WRITE = {_CLEANUP: "true", _HASHED: "64MB"}
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Tables that lie in the shared folder, in the order they were made.
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder; removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _made:
+        atexit.register(_remove_all, spark)
+    _made.append(path)
     return path
 
 
+def _remove_all(spark: SparkSession) -> None:
+    for path in _made:
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -51,6 +63,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_alone(make: Callable[[], DataFrame], spark: SparkSession, tag: str) -> DataFrame:
+    """The same of the frame that `make` gives; the tables that were made on the way go once it is written."""
+    before = set(_made)
+    out = materialise(make(), tag)
+    own = _made[-1]
+    for path in [p for p in _made if p not in before and p != own]:
+        _remove(spark, path)
+        _made.remove(path)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch (bytes are bounded by Spark's own setting)."""
     if int(spark.conf.get(_BATCH)) > rows:

@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise
+from quillon.llm.common import materialise, materialise_alone
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component: the smallest node reachable) of every node with an edge; edges: (a, b).
+    """(node, component: the smallest node reachable) of every node with an edge; edges: (a, b). The tables of the
+    rounds go once the result is written.
 
     Each round hangs every node's larger neighbours on its smallest one, then its smaller ones; the edges
     become stars in about log n rounds. Minima are found by partial aggregation and joined back, so a
     node with very many edges isn't gathered. Every round is a table in the shared folder.
     """
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialise(small.filter("u <> v").distinct(), "edges")
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == mark:
-            break
-        mark = new
-    stars = now.groupBy("u").agg(F.min("v").alias("v"))
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+    def stars_of() -> DataFrame:
+        now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        mark = None
+        while True:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+            now = materialise(small.filter("u <> v").distinct(), "edges")
+            new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if new == mark:
+                break
+            mark = new
+        stars = now.groupBy("u").agg(F.min("v").alias("v"))
+        return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+    return materialise_alone(stars_of, edges.sparkSession, "components")
 
 
 def pivot_groups(buckets: DataFrame, keys: list[str]) -> DataFrame:

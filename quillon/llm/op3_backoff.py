@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import keep_columns, materialise, table
+from quillon.llm.common import keep_columns, materialise, materialise_alone, table
 from quillon.llm.wordhash import combine, mix, word_hashes
 
 #: Characters of a block.
@@ -146,7 +146,7 @@ def _add_up(sent: DataFrame, level: int, tag: str) -> DataFrame:
         out.append((-1, number, level, b"", int(total[words].sum()), int((total[words] > 0).sum())))
         return pd.DataFrame(out, columns=["block", "range", "level", "counts", "n", "v"])
 
-    return materialise(materialise(sent, tag).groupBy("range").applyInPandas(answer, _BACK), f"{tag}-counts")
+    return materialise_alone(lambda: materialise(sent, tag).groupBy("range").applyInPandas(answer, _BACK), sent.sparkSession, f"{tag}-counts")
 
 
 def _counts(part: pd.DataFrame, level: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import free_name, materialise, table
+from quillon.llm.common import free_name, materialise, materialise_alone, table
 
 WORDS = 5
 #: Similarity, as a fraction.
@@ -120,7 +120,7 @@ def _matched(lines: DataFrame) -> DataFrame:
     right = many.join(lines.select("at", "toks", "said"), "at")
     left = right.join(settled, "at", "left_anti")
     more = left.alias("l").join(right.alias("e"), F.expr(f"l.tok = e.tok AND {sizes} AND {whole}"), "left_semi").select("at").distinct()
-    return materialise(settled.unionByName(more), "matched")
+    return settled.unionByName(more)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +130,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posts = materialise(_post(texts), "posts")
     at = F.struct("id", "line_no", "row")
     sets = materialise(posts.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c")), "sets")
-    gone = _matched(_shared_tokens(texts, _candidates(posts, sets.select("h1", "h2", "first"))))
+    gone = materialise_alone(lambda: _matched(_shared_tokens(texts, _candidates(posts, sets.select("h1", "h2", "first")))), docs.sparkSession, "matched")
     # Lines of a set that has no earlier match stay at the set's first place alone.
     judged = sets.join(gone, F.col("first") == F.col("at"), "left").filter("c > 1 OR at IS NOT NULL")
     judged = judged.select("h1", "h2", "first", F.col("at").isNotNull().alias("late"))
@@ -146,8 +146,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     is one array of lines. Empty table: empty."""
     used = [c.lower() for c in docs.columns]
     gone_id, gone_row, gone, lines, flags = (free_name(used, c) for c in ("gone_id", "gone_row", "gone", "lines", "flags"))
-    found = removed_lines(docs, id_col, text_col).groupBy("id", "row").agg(F.sort_array(F.collect_set("line_no")).alias(gone))
-    found = materialise(found.select(F.col("id").alias(gone_id), F.col("row").alias(gone_row), gone), "removed")
+
+    def find() -> DataFrame:
+        found = removed_lines(docs, id_col, text_col).groupBy("id", "row").agg(F.sort_array(F.collect_set("line_no")).alias(gone))
+        return found.select(F.col("id").alias(gone_id), F.col("row").alias(gone_row), gone)
+
+    found = materialise_alone(find, docs.sparkSession, "removed")
     text = F.col(f"`{text_col}`")
     both = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_row)), "left")
     # One character for each line up to the last that goes.
