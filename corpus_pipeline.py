@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns all documents it keeps, with the columns of documents;
 the last returns pieces of packed sequences.
+
+What holds of every stage: other columns than those of documents are left out, so none can clash; a row is judged by
+its own text, even if its id is null or repeated; rows repeated whole have one fate (of those, near dedup keeps one);
+texts of any length are read whole; ties go to the smaller doc_id, then to the smaller digest of the text; an
+empty table gives an empty one. What holds of one stage alone is said there.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import op1_packing, op4_secrets, op7_minhash, op8_langid, op9_lines
-from quillon.llm.common import materialise
+from quillon.llm.common import materialise_alone
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose likeliest language is less sure than this is rejected.
@@ -30,7 +35,8 @@ def _with_text(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, without text or of no sure language go, and those whose n-grams are not like
     the language's; lang becomes the predicted one. Without any labelled row there is nothing to judge by:
-    documents without a letter go, the others stay as they are."""
+    documents without a letter go, the others stay as they are. A null lang is not learned from; a null or empty
+    text has no letter. Repeated rows count as often in what is learned."""
     model = op8_langid.train(docs)
     told = op8_langid.label(docs.select(*COLUMNS), model, fit_col="lang_fit")
     if not model[0]:
@@ -40,24 +46,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; so does a document all of whose lines did."""
+    """Lines that match an earlier line go, by doc_id (null first) and place; so does a document all of whose lines
+    did. A null text stays, as does a text without a word. n_chars is counted anew."""
     cut = op9_lines.dedup(docs.select(*COLUMNS))
     return _with_text(cut.filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines"))))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8. Rows that repeat an
-    id are judged by their own texts; of rows repeated whole one stays."""
+    id are judged by their own texts; of rows repeated whole one stays. A null or empty text, or one without words, has
+    no copies and stays, as does a row without an id."""
     return op7_minhash.remove(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Values that look live are masked; copied examples and all documents stay."""
+    """Values that look live are masked; copied examples and all documents stay. A null source is one owner. A
+    null text stays null. n_chars is counted anew."""
     return _with_text(op4_secrets.mask_live(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the sequences, without their ids."""
+    """Pieces of the sequences, without their ids. A null text is packed as an empty one, its end id alone; every
+    row is packed, repeated ones too."""
     return op1_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
 
 
@@ -74,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is a Parquet table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, name)
     return STAGES[-1][1](spark, docs, sf_dir)
