@@ -1,0 +1,103 @@
+"""Lines of a batch of texts as hashes and sets of hashed runs of words, in numpy."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+
+from quillon.llm.wordhash import hash_words, mix
+
+#: Lines of a batch: so many that a line's number and a token fit into 64 bits together.
+LINES = 1 << 14
+TOKEN_BITS = 50
+#: Bytes of text hashed at once; a longer line is a batch of its own.
+BATCH_BYTES = 1 << 22
+_RUN = 0xD1342543DE82EF95
+_LINE = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+@dataclass
+class Lines:
+    """Of the lines that hold a word: the number of their text, their place in it, hashes of their words in order,
+    number of words and of distinct runs; the runs' hashes (TOKEN_BITS bits), ascending, one line after another."""
+
+    text: np.ndarray
+    place: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+    words: np.ndarray
+    n: np.ndarray
+    tokens: np.ndarray
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), base, np.uint64)]))
+
+
+def _batch(raw: bytes, line_text: np.ndarray, line_place: np.ndarray, run: int) -> Lines:
+    """raw: the lines, each closed by a line feed."""
+    hashes, start = hash_words(raw)
+    feeds = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    line = np.searchsorted(feeds, start)
+    count = np.bincount(line, minlength=len(feeds))
+    used = np.flatnonzero(count)
+    number = np.zeros(len(feeds), np.int64)
+    number[used] = np.arange(len(used))
+    line, count = number[line], count[used]
+    first = np.cumsum(count) - count
+    keys = []
+    if len(used):
+        at = np.arange(len(hashes)) - first[line]
+        for base in _LINE:
+            power = _powers(base, int(count.max()))
+            keys.append(mix(np.add.reduceat(mix(hashes ^ np.uint64(base)) * power[at], first) + count.astype(np.uint64)).view(np.int64))
+    else:
+        keys = [np.zeros(0, np.int64)] * 2
+    total = max(0, len(hashes) - run + 1)
+    made = np.zeros(total, np.uint64)
+    for k in range(run):
+        made = made * np.uint64(_RUN) + hashes[k : k + total]
+    inside = line[:total] == line[run - 1 :] if total else np.zeros(0, bool)
+    made = mix(made[inside]) >> np.uint64(64 - TOKEN_BITS)
+    both = np.sort(line[:total][inside].astype(np.uint64) << np.uint64(TOKEN_BITS) | made)
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    n = np.bincount((both >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=len(used))
+    tokens = (both & np.uint64((1 << TOKEN_BITS) - 1)).view(np.int64)
+    return Lines(line_text[used], line_place[used], *keys, count, n, tokens)
+
+
+def lines_of(texts: list[bytes], run: int) -> Iterator[Lines]:
+    """All lines of the texts (UTF-8), in batches; line feeds part lines."""
+    part: list[bytes] = []
+    owner: list[int] = []
+    place: list[int] = []
+    size = 0
+
+    def flush() -> Lines:
+        nonlocal part, owner, place, size
+        raw, o, p = b"\n".join(part) + b"\n", np.array(owner, np.int64), np.array(place, np.int32)
+        part, owner, place, size = [], [], [], 0
+        return _batch(raw, o, p, run)
+
+    for k, text in enumerate(texts):
+        held = text.split(b"\n")
+        for at in range(0, len(held), LINES):
+            few = held[at : at + LINES]
+            length = sum(map(len, few)) + len(few)
+            if part and (len(part) + len(few) > LINES or size + length > BATCH_BYTES):
+                yield flush()
+            part += few
+            owner += [k] * len(few)
+            place += range(at, at + len(few))
+            size += length
+    if part:
+        yield flush()
+
+
+def first_of_each(values: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive groups the first `take` values, and the offsets of the groups then."""
+    at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return values[at < np.repeat(take, sizes)], np.concatenate([[0], np.cumsum(take)]).astype(np.int32)

@@ -40,7 +40,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _hash(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first byte of the words of a buffer that ends with white space."""
     a = np.frombuffer(buffer, np.uint8)
     space = _SPACE[a]
@@ -68,7 +68,7 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     def flush() -> None:
         nonlocal group, total
         if group:
-            hashes, start = _hash(b" ".join(group) + b" ")
+            hashes, start = hash_words(b" ".join(group) + b" ")
             ends = np.cumsum([len(g) + 1 for g in group])
             out.extend(np.split(hashes, np.searchsorted(start, ends[:-1])))
         group, total = [], 0
@@ -77,7 +77,7 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
         raw = text.encode("utf-8", "replace").lower()
         if len(raw) > BATCH_BYTES:
             flush()
-            out.append(np.concatenate([_hash(part + b" ")[0] for part in _parts(raw)]))
+            out.append(np.concatenate([hash_words(part + b" ")[0] for part in _parts(raw)]))
             continue
         group.append(raw)
         total += len(raw)
