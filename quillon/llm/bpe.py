@@ -184,6 +184,18 @@ class MergeTable:
         return guesses, len(failing)
 
 
+_BOUNDARY = re.compile(r" (?=\S)")
+
+
+def text_blocks(text: str) -> list[str]:
+    """A long text in parts of about BLOCK_CHARS that are encoded alone; each but the first begins with its space."""
+    out, start = [], 0
+    while len(text) - start > BLOCK_CHARS and (m := _BOUNDARY.search(text, start + BLOCK_CHARS)):
+        out.append(text[start : m.start()])
+        start = m.start()
+    return [*out, text[start:]]
+
+
 class Encoder:
     """Encodes texts like the file's tokenizer, chunk by chunk. kind 'bytes': byte-level pieces with their
     leading space; kind 'words': lower-cased pieces with word ends. The chunk rule of each kind keeps every
@@ -201,7 +213,6 @@ class Encoder:
         self._piece = regex.compile(self.PIECES[self.kind])
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")") if self.table.special else None
         self._inner_space = re.compile(r" (?!\S)")
-        self._boundary = re.compile(r" (?=\S)")
         #: A generation of the cache ends with this many chunks or characters in it.
         self.generation, self.generation_chars, self.held = generation, generation_chars, 0
         self.young: dict[str, tuple[int, ...]] = {}
@@ -222,17 +233,12 @@ class Encoder:
         """For kind 'bytes' every chunk but the first stands for a space and the chunk; the first is marked by a NUL."""
         if self.kind == "words":
             return text.replace("\n", " ").split(" ")
-        parts = self._boundary.split(text) if self._inner_space.search(text) else text.split(" ")
+        parts = _BOUNDARY.split(text) if self._inner_space.search(text) else text.split(" ")
         parts[0] = "\0" + parts[0]
         return parts
 
     def blocks(self, text: str) -> list[str]:
-        """Long texts in parts that are encoded alone; each but the first begins with its space."""
-        out, start = [], 0
-        while len(text) - start > BLOCK_CHARS and (m := self._boundary.search(text, start + BLOCK_CHARS)):
-            out.append(text[start : m.start()])
-            start = m.start()
-        return [*out, text[start:]]
+        return text_blocks(text)
 
     def _words(self, piece: str) -> str:
         s = piece.encode("utf-8", "replace").decode("latin-1")

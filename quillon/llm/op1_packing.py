@@ -21,13 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.bpe import text_blocks
 from quillon.llm.common import keep_columns, materialise, small_batches, table
 
 CAPACITY = 1024
 #: The program stops when its bound shows it within this share of the optimum.
 GAP = 0.0001
-#: Most columns that are priced; an earlier basis packs all items too, with somewhat more padding.
-STEPS = 300
+#: Columns priced between two fresh inversions of the basis, so that rounding can't pile up.
+REFRESH = 100
 #: Gaps of fewer tokens stay padding.
 LEAST_GAP = 16
 
@@ -92,16 +93,21 @@ def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tu
     return basis, inverse
 
 
-def generate_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def generate_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row) and how often each is used, in fractions: the cutting-stock linear program by
     revised simplex with columns priced by a knapsack. It ends at `gap` from the better of two lower bounds
-    (tokens over capacity; the duals' bound) or after `steps` columns; every basis on the way packs all items."""
+    (tokens over capacity; the duals' bound), where no column is worth its price, or after `steps` columns if that is given."""
     m = len(lengths)
+    stalled = 0
     basis, inverse = starting_basis(lengths, demand, capacity)
-    start = basis.copy(), np.maximum((inverse * demand).sum(axis=1), 0)
-    used = start[1]
+    used = np.maximum((inverse * demand).sum(axis=1), 0)
     bound = float((lengths * demand).sum()) / capacity
-    for _ in range(steps):
+    done = 0
+    while steps is None or done < steps:
+        done += 1
+        if done % REFRESH == 0:
+            inverse = np.linalg.inv(basis)
+            used = np.maximum((inverse * demand).sum(axis=1), 0)
         duals = inverse.sum(axis=0)
         total = float(used.sum())
         if total - bound <= gap * total:
@@ -118,14 +124,17 @@ def generate_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap
         ratio[ok] = used[ok] / direction[ok]
         leave = int(ratio.argmin())
         theta = ratio[leave]
+        # Steps that change nothing may go round in a circle; so many in a row end the search at this basis, which packs all items.
+        stalled = stalled + 1 if theta <= 1e-9 else 0
+        if stalled > 2 * m:
+            break
         used = np.maximum(used - theta * direction, 0)
         used[leave] = theta
         row = inverse[leave] / direction[leave]
         inverse -= direction[:, None] * row
         inverse[leave] = row
         basis[:, leave] = column
-    if np.abs((basis * used).sum(axis=1) - demand).max() > 1e-6 * demand.max():  # rounding has piled up
-        basis, used = start
+    used = np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
     return basis.T.astype(np.int64), used
 
 
@@ -244,8 +253,9 @@ class _Ids:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
+        """Ids of a text; a very long one is encoded block by block."""
         if self.fast is not None and not self.rare.search(text):
-            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+            return np.concatenate([np.array(self.fast.encode_ordinary(part), dtype="<u4") for part in text_blocks(text)])
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -284,7 +294,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int
     """One row for each piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids binary).
 
     Null text: as empty, a document of the end id alone. Repeated rows are packed each. An empty table
-    gives no pieces. A length that a third of all documents share is one row of the histogram; its ranks
+    gives no pieces. Only the two columns named are read. A length that a third of all documents share is one row of the histogram; its ranks
     are counts of each task added up, so no task gathers them.
     """
     spark = docs.sparkSession

@@ -118,6 +118,27 @@ def test_column_generation_packs_all_near_the_bound():
     assert used.sum() <= np.linalg.solve(start, demand).sum() + 1e-6
 
 
+def test_ids_of_long_texts_in_blocks(monkeypatch):
+    from quillon.llm import bpe
+
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 30)
+    library, own, r = Tokenizer.from_file(BYTES), op1_packing._Ids(BYTES, RANKS), random.Random(4)
+    for text in [LONG, *("".join(r.choice("ab  é\n.'s1") for _ in range(400)) for _ in range(200))]:
+        assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_columns_end_on_the_bound(seed):
+    """At the end no column is worth its price, or the bound is met: the program's optimum."""
+    r = np.random.default_rng(seed)
+    lengths, demand = np.unique(np.minimum(63, r.geometric(0.08, 3000)), return_counts=True)
+    patterns, used = op1_packing.generate_columns(lengths, demand, 64)
+    assert np.allclose(patterns.T @ used, demand) and (patterns @ lengths <= 64).all()
+    duals = np.linalg.solve(patterns.astype(float), np.ones(len(lengths)))
+    bound = max((lengths * demand).sum() / 64, duals @ demand / max(1.0, op1_packing.price(lengths, duals, 64)[0]))
+    assert used.sum() <= bound * (1 + 2 * op1_packing.GAP)
+
+
 # --- 2
 
 
