@@ -25,6 +25,8 @@ from quillon.llm.common import keep_columns, materialise, small_batches, table,
 MAGIC = b"WMX1"
 #: Tokens after which a shard ends; documents are never split.
 SHARD_TOKENS = 1 << 21
+#: Bytes of input (by Spark's estimate) for each task beyond the session's partitions, and tasks at most.
+PART_BYTES, MOST_PARTS = 1 << 27, 100_000
 _WORD = 512
 
 
@@ -229,7 +231,9 @@ def _put(path: str, data: bytes) -> None:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards of documents in ascending id order below path; returns (shard, tokens, first) of each,
     first being the ids before the shard. Null ids come first; rows of one id stay together, in any order.
-    Null text: as empty, a document of the end id alone. An empty table gives no shards."""
+    Null text: as empty, a document of the end id alone. An empty table gives no shards. A very long text is encoded
+    block by block and lies in one shard. Rows of one id, null ids included, are dealt by their texts, so many of
+    them are many tasks' work. Only the two columns named are read."""
     spark = docs.sparkSession
     small_batches(spark, 500)
 
@@ -260,8 +264,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         if held:
             yield flush()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keep_columns(docs, id_col, text_col).repartitionByRange(parts, F.col(id_col)).sortWithinPartitions(id_col)
+    rows = keep_columns(docs, id_col, text_col)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, size // PART_BYTES))
+    place = F.col(id_col), F.xxhash64(text_col)
+    ordered = rows.repartitionByRange(parts, *place).sortWithinPartitions(*place)
     shards = materialise(ordered.mapInPandas(run, "shard string, part int, number int, tokens bigint"), "shards")
     # Two prefix sums: over tasks (one row each), then over the shards of a task.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
