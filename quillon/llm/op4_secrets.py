@@ -29,6 +29,8 @@ EXAMPLE_OWNERS = 3
 #: Repositories from which on it does, whoever owns them: an example spread through one owner's texts.
 EXAMPLE_REPOS = 25
 MASK = "[SECRET]"
+#: Matches whose places are summed up together.
+_PART = 256
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:bigint>>"
 
 
@@ -47,8 +49,15 @@ def _spans(text: Column, number: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"), F.xxhash64(row["v"]).alias("value"))
         return F.struct(stop.alias("at"), F.when(F.length(row["v"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
+    def join(state: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["kind"].alias("kind"), (s["stop"] + state["at"]).alias("stop"), s["value"].alias("value")))
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    # Adding to an array copies it, so places are summed up part by part: a text of very many matches costs little more for each.
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(rows, start, add, lambda state: state["out"])
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(rows) / _PART).cast("int")), lambda c: F.aggregate(F.slice(rows, c * _PART + 1, F.lit(_PART)), start, add))
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), join, lambda state: F.flatten(state["out"]))
+    return F.when(held, whole).otherwise(F.array().cast(_SPAN))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
@@ -68,18 +77,20 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def live_values(spans: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
-    """(live_id, live_repo, live, most_owners, most_repos) of documents with spans: the values that look live, and
-    how widely the most copied value is held."""
-    pairs = spans.select("id", "repo", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    known = ownership(spans).withColumn("is_live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
-    told = pairs.join(known, "value").groupBy(F.col("id").alias("live_id"), F.col("repo").alias("live_repo"))
-    return told.agg(F.collect_set(F.when(F.col("is_live"), F.col("value"))).alias("live"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
+def flag_spans(spans: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """(live_id, live_repo, spans, most_owners, most_repos) of documents with spans, each span with `live`: whether
+    its value looks live; and how widely the document's most copied value is held."""
+    each = spans.select("id", "repo", F.explode("spans").alias("s")).select("id", "repo", "s", F.col("s.value").alias("value"))
+    known = ownership(spans).withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
+    told = each.join(known, "value").groupBy(F.col("id").alias("live_id"), F.col("repo").alias("live_repo"))
+    flagged = F.struct("s.start", "s.kind", "s.stop", "live").alias("s")
+    return told.agg(F.array_sort(F.collect_set(flagged)).alias("spans"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
 
 
 def _with_live(found: DataFrame) -> DataFrame:
-    live = live_values(found.filter(F.size("spans") > 0))
-    return found.join(live, F.col("id").eqNullSafe(F.col("live_id")) & (F.col("repo") == F.col("live_repo")), "left")
+    """(id, repo, spans with live, most_owners, most_repos) of every row; no spans: null."""
+    told = flag_spans(found.filter(F.size("spans") > 0))
+    return found.select("id", "repo").join(told, F.col("id").eqNullSafe(F.col("live_id")) & (F.col("repo") == F.col("live_repo")), "left")
 
 
 def _names(spans: Column) -> Column:
@@ -92,15 +103,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     owners and repositories of its most widely held value. Null text: as empty. Repeated rows: one result each. An
     empty table gives no rows. Only the three columns named are read."""
     found = materialise(find_spans(docs, id_col, text_col, owner_col), "spans")
-    both = _with_live(found).withColumn("live", F.coalesce("live", F.array().cast("array<bigint>")))
-    kept = F.filter("spans", lambda s: (s["kind"] < BASE) | F.array_contains(F.col("live"), s["value"]))
+    both = _with_live(found).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>")))
+    kept = F.filter("spans", lambda s: (s["kind"] < BASE) | s["live"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return both.select(
         F.col("id").alias(id_col),
         *[count(k).alias(f"n_{KINDS[k][0]}") for k in range(BASE)],
         F.sha2(_names(F.filter("spans", lambda s: s["kind"] < BASE)), 256).alias("base_sha256"),
         _names(kept).alias("spans"),
-        F.size(F.filter("spans", lambda s: F.array_contains(F.col("live"), s["value"]))).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
         F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"),
     )
@@ -113,9 +124,8 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     used = [c.lower() for c in docs.columns]
     hit_id, hit_repo, hits = (free_name(used, c) for c in ("hit_id", "hit_repo", "hits"))
     found = materialise(find_spans(docs, id_col, text_col, owner_col), "spans").filter(F.size("spans") > 0)
-    live = _with_live(found).select("id", "repo", F.filter("spans", lambda s: F.array_contains(F.col("live"), s["value"])).alias("spans"))
-    # Rows repeated whole have the same spans.
-    hit = live.filter(F.size("spans") > 0).groupBy(F.col("id").alias(hit_id), F.col("repo").alias(hit_repo)).agg(F.first("spans").alias(hits))
+    live = flag_spans(found).select(F.col("live_id").alias(hit_id), F.col("live_repo").alias(hit_repo), F.filter("spans", lambda s: s["live"]).alias(hits))
+    hit = live.filter(F.size(hits) > 0)
     text = F.col(f"`{text_col}`")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(hit_repo))
     both = docs.join(hit, same, "left")
@@ -126,7 +136,7 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(F.array_sort(hits), start, cut, lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text))))
+    masked = F.aggregate(hits, start, cut, lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text))))
     return both.select(*[F.when(F.col(hits).isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -358,6 +358,12 @@ def test_secrets_of_one_owner_in_many_repositories(spark):
     assert got[0] == (0, 1, 25) and got[100] == (1, 1, 1)
 
 
+def test_secrets_of_a_text_of_very_many_matches(spark):
+    text = " ".join(f"é token = 'abc{i:07d}' AKIA{i:017d}" for i in range(20_000))
+    got = op4_secrets.scan(spark.createDataFrame([(1, text, "o")], "doc_id bigint, text string, source string")).first()
+    assert (got.n_assign, got.n_access, got.base_sha256) == (20_000, 20_000, _digest(_spans(text)))
+
+
 def test_masking_of_repeated_ids(spark):
     rows = [(1, "token = 'aaaaaa111111'", "o"), (1, "nothing in here, at all, my friend", "o"), (1, "token = 'aaaaaa111111'", "o"), (None, "token = 'bbbbbb222222'", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
