@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,27 +34,52 @@ REFRESH = 100
 LEAST_GAP = 16
 
 
-def price(lengths: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+class _Knapsack:
+    """Greatest value of items of at most c tokens in all, for every c up to the capacity.
+
+    In blocks from b to under 1.5 b, each by whole-array operations on views made once. Items of c tokens in all are
+    there either one of b or more and others of c - b < b / 2 at most, or all shorter than b; these fall into two
+    sides shorter than b: one item longer than c - b by itself, or shorter ones added up until they pass c - b, which
+    ends below 2 (c - b) < b."""
+
+    def __init__(self, capacity: int):
+        self.best, self.blocks, b = np.zeros(capacity + 1), [], 2
+        while b <= capacity:
+            end = min(capacity + 1, b + (b + 1) // 2)
+            n, half = end - b, (b + 1) // 2
+            # Row c - b: best[c - a] for a from half to b - 1.
+            other = sliding_window_view(self.best[: end - half][::-1], b - half)[:n][::-1]
+            # Row c - b: worth[c - j] for j from n - 1 to 0; below b there is no long item.
+            long = np.full(2 * n - 1, -np.inf)
+            self.blocks.append((b, end, other, self.best[half:b], long[n - 1 :], sliding_window_view(long, n), self.best[:n][::-1]))
+            b = end
+
+    def fill(self, worth: np.ndarray) -> np.ndarray:
+        """worth: of an item of each length, none negative. The result holds until the next call."""
+        self.best[:2] = worth[:2]
+        for b, end, other, one, long, longs, rest in self.blocks:
+            long[:] = worth[b:end]
+            np.maximum((other + one).max(axis=1), (longs + rest).max(axis=1), out=self.best[b:end])
+        return self.best
+
+
+def price(lengths: np.ndarray, duals: np.ndarray, capacity: int, knapsack: _Knapsack | None = None) -> tuple[float, np.ndarray]:
     """The pattern of greatest value: unbounded knapsack by dynamic programming over the filled length."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
-        if n:
-            value = best[c - lengths[:n]] + duals[:n]
-            k = int(value.argmax())
-            if value[k] > best[c - 1] + 1e-12:
-                best[c], pick[c] = value[k], k
-                continue
-        best[c] = best[c - 1]
+    worth = np.zeros(capacity + 1)
+    worth[lengths] = np.maximum(duals, 0)
+    best = (knapsack or _Knapsack(capacity)).fill(worth)
     counts = np.zeros(len(lengths), np.int64)
     c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            counts[pick[c]] += 1
-            c -= int(lengths[pick[c]])
+    while n := int(np.searchsorted(lengths, c, side="right")):
+        value = best[c - lengths[:n]] + duals[:n]
+        k = int(value.argmax())
+        if value[k] <= 1e-12:
+            break
+        # As many of that length as lose nothing.
+        times = np.arange(1, c // lengths[k] + 1)
+        same = best[c - times * lengths[k]] + times * duals[k] >= value[k] - 1e-12
+        counts[k] += times[same][-1]
+        c -= int(times[same][-1] * lengths[k])
     return float(best[capacity]), counts
 
 
@@ -98,9 +124,10 @@ def generate_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap
     revised simplex with columns priced by a knapsack. It ends at `gap` from the better of two lower bounds
     (tokens over capacity; the duals' bound), where no column is worth its price, or after `steps` columns if that is given."""
     m = len(lengths)
-    stalled = 0
+    stalled, knapsack = 0, _Knapsack(capacity)
     basis, inverse = starting_basis(lengths, demand, capacity)
     used = np.maximum((inverse * demand).sum(axis=1), 0)
+    duals = inverse.sum(axis=0)
     bound = float((lengths * demand).sum()) / capacity
     done = 0
     while steps is None or done < steps:
@@ -108,15 +135,16 @@ def generate_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap
         if done % REFRESH == 0:
             inverse = np.linalg.inv(basis)
             used = np.maximum((inverse * demand).sum(axis=1), 0)
-        duals = inverse.sum(axis=0)
+            duals = inverse.sum(axis=0)
         total = float(used.sum())
         if total - bound <= gap * total:
             break
-        value, column = price(lengths, duals, capacity)
+        value, column = price(lengths, duals, capacity, knapsack)
         bound = max(bound, float((duals * demand).sum()) / max(value, 1.0))
         if value <= 1 + 1e-7 or total - bound <= gap * total:
             break
-        direction = (inverse * column).sum(axis=1)
+        inside = np.flatnonzero(column)
+        direction = (inverse[:, inside] * column[inside]).sum(axis=1)
         ok = direction > 1e-9
         if not ok.any():
             break
@@ -131,8 +159,11 @@ def generate_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap
         used = np.maximum(used - theta * direction, 0)
         used[leave] = theta
         row = inverse[leave] / direction[leave]
-        inverse -= direction[:, None] * row
+        # Most columns of the basis have no part in the new one: their rows and the duals change by nothing else.
+        touched = np.flatnonzero(np.abs(direction) > 1e-12)
+        inverse[touched] -= direction[touched, None] * row
         inverse[leave] = row
+        duals = duals + (1 - float(duals @ column)) * row
         basis[:, leave] = column
     used = np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
     return basis.T.astype(np.int64), used
