@@ -52,10 +52,10 @@ def _words(norm: str = "norm") -> str:
 
 def _tokens() -> str:
     """The line's distinct tokens by hash, as SQL. The line's words are bound to w once; they are never a column,
-    which would copy them."""
-    run = ", ".join(f"w[i + {k}]" for k in range(WORDS))
-    runs = f"transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({run}))"
-    return f"transform(array({_words()}), w -> IF(size(w) < {WORDS}, cast(array() as array<bigint>), sort_array(array_distinct({runs}))))[0]"
+    which would copy them. What is in the lambda is interpreted, so only the hashing is there."""
+    run = ", ".join(f"w[i + {k}]" for k in range(1, WORDS))
+    runs = f"transform(slice(w, 1, greatest(size(w) - {WORDS - 1}, 0)), (x, i) -> xxhash64(x, {run}))"
+    return f"sort_array(array_distinct(transform(array({_words()}), w -> {runs})[0]))"
 
 
 def _post(docs: DataFrame) -> DataFrame:
