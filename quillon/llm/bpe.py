@@ -111,16 +111,17 @@ class MergeTable:
         for i in made[np.argsort(self.rank[made])]:
             fine[i] &= fine[self.left[i]] and fine[self.right[i]]
         self.guess = {s: i for s, i in self.vocab.items() if fine[i]}
+        #: By its first four symbols, the longest token that begins so.
         self.reach: dict[str, int] = {}
         for s in self.guess:
-            if len(s) > 1:
-                self.reach[s[:2]] = max(self.reach.get(s[:2], 0), len(s))
+            if len(s) > 3:
+                self.reach[s[:4]] = max(self.reach.get(s[:4], 0), len(s))
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match from the left."""
         out, i, n, get, reach = [], 0, len(word), self.guess.get, self.reach.get
         while i < n:
-            j = min(n, i + reach(word[i : i + 2], 1))
+            j = min(n, i + reach(word[i : i + 4], 3))
             while (t := get(word[i:j])) is None:
                 j -= 1
             out.append(t)
@@ -252,14 +253,15 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         words: dict[str, int] = {}
-        plans: list[list[int]] = []
+        plans: list[list[int | tuple[int, ...]]] = []
         find, symbols, number, lower = self._piece.findall, self._words, words.setdefault, self.kind == "words"
+        young, old = self.young, self.old
         for chunk in chunks:
             raw = chunk if lower else chunk[1:] if chunk[:1] == "\0" else " " + chunk
             if chunk.isalpha() and (raw.isascii() or not self._rare.search(raw)) and not lower:
                 plans.append([number(symbols(raw), len(words))])  # letters only: one piece
                 continue
-            plan: list[int] = []
+            plan: list[int | tuple[int, ...]] = []
             borders = None if raw.isascii() or not self._rare.search(raw) else self._borders
             for k, part in enumerate(self._cut.split(raw) if self._cut and "<" in raw else [raw]):
                 if k % 2:
@@ -270,14 +272,19 @@ class Encoder:
                     continue
                 if lower:
                     part = part.lower() if part.isascii() else self._normalise(part)
-                plan += [number(symbols(p), len(words)) for p in find(part)]
+                for p in find(part):
+                    # A space and plain letters are what the chunk of these letters stands for.
+                    bare = p[1:]
+                    if not lower and p[0] == " " and bare.isalpha() and bare.isascii() and (ids := young.get(bare) or old.get(bare)):
+                        plan.append(ids)
+                    else:
+                        plan.append(number(symbols(p), len(words)))
             plans.append(plan)
         made, slow = self.table.encode_words(list(words))
         self.exact_words += slow
         self.guessed_words += len(words) - slow
-        young = self.young
         for chunk, plan in zip(chunks, plans, strict=True):
-            young[chunk] = tuple(made[plan[0]]) if len(plan) == 1 and plan[0] >= 0 else tuple(chain.from_iterable(made[p] if p >= 0 else (-1 - p,) for p in plan))
+            young[chunk] = tuple(chain.from_iterable([p if type(p) is tuple else made[p] if p >= 0 else (-1 - p,) for p in plan]))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, no special tokens added."""
@@ -308,14 +315,19 @@ class Encoder:
 
     def _run(self, group: list[list[str]]) -> list[list[int]]:
         young, old = self.young, self.old
-        new = set().union(*group).difference(young)
+        found = [list(map(young.get, chunks)) for chunks in group]
+        gaps = [[k for k, ids in enumerate(row) if ids is None] for row in found]
+        new = {chunks[k] for chunks, gap in zip(group, gaps, strict=True) for k in gap}
         if new:
             known = new.intersection(old)
             for c in known:
                 young[c] = old[c]
             self._learn(list(new.difference(known)))
             self.held += sum(map(len, new))
-        out = [list(chain.from_iterable(map(young.__getitem__, chunks))) for chunks in group]
+        for chunks, row, gap in zip(group, found, gaps, strict=True):
+            for k in gap:
+                row[k] = young[chunks[k]]
+        out = [list(chain.from_iterable(row)) for row in found]
         if len(young) > self.generation or self.held > self.generation_chars:
             self.old, self.young, self.held = young, {}, 0
         return out

@@ -54,3 +54,17 @@ def test_marked_words_encode_like_the_library():
     library, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), WordIds(P.path("word_bpe_49k.json"))
     for text in _samples():
         assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_known_as_chunks_are_not_merged_again():
+    path = P.path("byte_bpe_50k.json")
+    library, enc = Tokenizer.from_file(path), bpe.Encoder(path)
+    texts = ["an shthore orerre", "an shthore, orerre; (shthore)\n orerre'll <orerre shthore", "Shthore, shthoré, an  shthore."]
+    enc.encode(texts[:1])
+    seen = enc.exact_words + enc.guessed_words
+    assert enc.encode(texts[1:2]) == [library.encode(texts[1], add_special_tokens=False).ids]
+    # New: `,` `;` ` (` `shthore` `)` `\n` `'ll` ` <` `orerre`; the words after a space were known.
+    assert enc.exact_words + enc.guessed_words - seen <= 9
+    for generation in (1, 2, 300_000):
+        small = bpe.Encoder(path, generation=generation)
+        assert [small.encode([t])[0] for t in texts * 2] == [library.encode(t, add_special_tokens=False).ids for t in texts * 2]
