@@ -4,20 +4,26 @@ A line's tokens are its runs of five words (a shorter line: the whole of it). Tw
 Jaccard similarity of their token sets is at least 0.8; a line goes if an earlier one matches it, by
 (document id, line number). Lines with the same words are one set, known by two 64-bit hashes.
 
-The join runs in two steps, each exact.
+The join runs in three steps, each exact.
 
 1. Which lines can match at all. Tokens in the order of their hashes; of n tokens a line posts the first
    n - ceil(0.8 n) + SHARED. What a line doesn't post are its last ceil(0.8 n) - SHARED tokens. Two matching
    lines share at least ceil(0.8 N) tokens, N the larger size, and of those only the last ceil(0.8 N) - SHARED
    are not posted by both. So both post at least min(SHARED, ceil(0.8 N)) common tokens, and a line that has fewer
    posted tokens in common with other lines matches none.
-2. The lines that are left have their tokens counted. Tokens are ordered by that count, the rarest first, then
+2. Of these lines, a token posted by at most RARE is rare. Lines are paired by rare tokens, and the common tokens of
+   a pair counted. With p posted tokens of n, tokens that two lines share but don't both post are among the n - p
+   last ones of the line whose posted tokens end first. So a matching pair posts at least 4/9 (n + n') -
+   max(n - p, n' - p') in common; of those at most the smaller number of common tokens either line posts isn't counted.
+   Pairs that reach this are verified on the whole sets.
+3. Two matching lines without a rare token in common both post at least min(SHARED, ceil(0.8 N)) common ones. Lines
+   with so many have all their tokens counted. Tokens are ordered by that count, the rarest first, then
    by hash. A token of one line alone is rarest of all and matches nothing, so only shared tokens are kept; a
    line with fewer than ceil(0.8 n) of them is done. The others are joined on the tokens of their prefix under
    length and positional filters, and verified on the whole sets. Each line is first held against the earliest line
    of each of its tokens, which settles large groups of near copies in one pass; what is left is a semi join.
 
-No pair is ever put out, and no token's lines are gathered.
+No more than RARE lines are paired by one token, and no token's lines are gathered.
 """
 
 from __future__ import annotations
@@ -32,12 +38,18 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Posted tokens that two matching lines have in common at least (all that must match, if those are fewer).
 SHARED = 3
+#: A posted token of more lines than this is common: its lines aren't paired by it.
+RARE = 16
 _GAP = r"[\x20\x09\x0B-\x0D]+"
 _EDGE = " \t\x0b\x0c\r"
 _ODD = " OR ".join(f"contains(text, '{c}')" for c in ("  ", *_EDGE[1:]))
 #: Of n tokens, how many a match shares at least, and the length of the prefix.
 _MOST = f"cast(({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR} as int)"
 _PREFIX = f"(n - {_MOST} + 1)"
+#: How many tokens a line posts.
+_POSTED = f"least(n, {_PREFIX} + {SHARED - 1})"
+#: A line without outer white space; of a text that isn't odd it can only be spaces, whose removal is much cheaper.
+_NORM = f"CASE WHEN odd THEN trim(BOTH '{_EDGE}' FROM line) ELSE trim(line) END"
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,35 +74,56 @@ def _post(docs: DataFrame) -> DataFrame:
     """(num, id, row, odd, line_no, h1, h2, n, posted) of all lines that hold a word. Lines of fewer than five words have
     n = 0 and post nothing: their one token is no run of any other line."""
     lines = docs.withColumn("odd", F.expr(_ODD)).select("id", "row", "odd", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("id", "row", "odd", "line_no", F.trim("line", F.lit(_EDGE)).alias("norm")).filter("norm <> ''")
+    lines = lines.select("id", "row", "odd", "line_no", F.expr(_NORM).alias("norm")).filter("norm <> ''")
     same = F.expr(f"CASE WHEN odd THEN array_join({_words()}, ' ') ELSE norm END")
     known = lines.select("id", "row", "line_no", "odd", "norm", F.xxhash64(same).alias("h1"), F.xxhash64(F.lit(1), same).alias("h2"))
     sized = known.select("id", "row", "odd", "line_no", "h1", "h2", F.expr(_tokens()).alias("toks")).withColumn("n", F.size("toks"))
-    return sized.select(F.monotonically_increasing_id().alias("num"), "id", "row", "odd", "line_no", "h1", "h2", "n", F.expr(f"slice(toks, 1, least(n, {_PREFIX} + {SHARED - 1}))").alias("posted"))
+    return sized.select(F.monotonically_increasing_id().alias("num"), "id", "row", "odd", "line_no", "h1", "h2", "n", F.expr(f"slice(toks, 1, {_POSTED})").alias("posted"))
 
 
-def _candidates(posts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Places (at) of the lines, each set's first, that step 1 leaves, and whether their text is odd."""
+def _held(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lines, each set's first, that step 1 leaves: (at, odd), and their posted tokens that others of them
+    post too, with how many do: (tok, at, n, p, df), p the number of tokens the line posts."""
     each = posts.select("h1", F.explode("posted").alias("tok"))
     common = materialise(each.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("tok"), "posted")
     # Tokens travel with a line's number alone.
-    held = posts.select("num", F.explode("posted").alias("tok")).join(common, "tok", "left_semi").groupBy("num").agg(F.count("*").alias("c"))
-    held = materialise(held, "held")
+    held = materialise(posts.select("num", F.explode("posted").alias("tok")).join(common, "tok", "left_semi"), "held")
     lines = posts.select("num", "h1", "h2", "n", "odd", F.struct("id", "line_no", "row").alias("at"))
-    enough = lines.join(held, "num").filter(F.expr(f"c >= least({SHARED}, {_MOST})"))
-    return enough.select("h1", "h2", "odd", "at").join(sets, ["h1", "h2"]).filter("at = first").select("at", "odd")
+    enough = lines.join(held.groupBy("num").agg(F.count("*").alias("c")), "num").filter(F.expr(f"c >= least({SHARED}, {_MOST})"))
+    # Lines of one set post the same, so all of them are here.
+    first = materialise(enough.groupBy("h1", "h2").agg(F.min(F.struct("at", "num", "n", "odd")).alias("first")).select("first.*"), "enough")
+    rows = materialise(held.join(first.select("num", "at", "n", F.expr(_POSTED).alias("p")), "num").select("tok", "at", "n", "p"), "rows")
+    counts = rows.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+    return first.select("at", "odd"), materialise(rows.join(counts, "tok"), "marked")
 
 
-def _shared_tokens(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(at, n, said, toks) of candidate lines with enough shared tokens: toks holds these alone, rarest first; said
-    holds the words of a line of one token, which has nothing else to be verified by."""
-    wanted = candidates.groupBy(F.col("at.id").alias("wid"), F.col("at.row").alias("wrow"), "odd").agg(F.collect_set("at.line_no").alias("wanted"))
+def _pairs(marked: DataFrame, hot: DataFrame) -> DataFrame:
+    """(la, ea) of a late and an earlier line with a rare posted token in common that step 2 leaves."""
+    num, den = NUMERATOR, DENOMINATOR
+    rare = marked.filter(f"df <= {RARE}")
+    sizes = F.expr(f"e.at < l.at AND {den} * e.n >= {num} * l.n AND {den} * l.n >= {num} * e.n")
+    met = rare.alias("l").join(rare.alias("e"), F.col("l.tok") == F.col("e.tok")).filter(sizes)
+    met = met.groupBy(*[F.col(f"{x}.{c}").alias(x + c[0]) for x in "le" for c in ("at", "n", "p")]).agg(F.count("*").alias("c"))
+    for x in "le":
+        met = met.join(hot.select(F.col("at").alias(f"{x}a"), F.col("hot").alias(f"{x}h")), f"{x}a", "left")
+    shared = "c + least(coalesce(lh, 0), coalesce(eh, 0)) + greatest(ln - lp, en - ep)"
+    return met.filter(f"{num + den} * ({shared}) >= {num} * (ln + en)").select("la", "ea")
+
+
+def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(num, at, n, said, toks) of the lines at the places (at, odd): all tokens by hash; said holds the words of a
+    line of one token, which has nothing else to be verified by."""
+    wanted = wanted.groupBy(F.col("at.id").alias("wid"), F.col("at.row").alias("wrow"), "odd").agg(F.collect_set("at.line_no").alias("wanted"))
     texts = docs.join(wanted, docs["id"].eqNullSafe(F.col("wid")) & (docs["row"] == F.col("wrow")))
     texts = texts.select("id", "row", "odd", F.split("text", "\n", -1).alias("ls"), F.explode("wanted").alias("line_no"))
-    lines = texts.select(F.struct("id", "line_no", "row").alias("at"), "odd", F.trim(F.get("ls", "line_no"), F.lit(_EDGE)).alias("norm"))
+    lines = texts.select(F.struct("id", "line_no", "row").alias("at"), "odd", F.get("ls", "line_no").alias("line")).withColumn("norm", F.expr(_NORM))
     runs = lines.select("at", "odd", "norm", F.expr(_tokens()).alias("toks")).withColumn("n", F.size("toks"))
     said = F.expr(f"CASE WHEN n = 1 THEN array_join(slice({_words()}, 1, {WORDS}), ' ') END").alias("said")
-    whole = materialise(runs.select(F.monotonically_increasing_id().alias("num"), "at", "n", said, "toks"), "tokens")
+    return materialise(runs.select(F.monotonically_increasing_id().alias("num"), "at", "n", said, "toks"), "tokens")
+
+
+def _shared_tokens(whole: DataFrame) -> DataFrame:
+    """(at, n, said, toks) of the lines with enough shared tokens: toks holds these alone, rarest first."""
     each = whole.select("num", F.explode("toks").alias("tok"))
     counts = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     shared = materialise(each.join(counts, "tok"), "shared")
@@ -123,6 +156,23 @@ def _matched(lines: DataFrame) -> DataFrame:
     return settled.unionByName(more)
 
 
+def _late(docs: DataFrame, posts: DataFrame) -> DataFrame:
+    """(at) of every set's first place that an earlier line matches."""
+    first, marked = _held(posts)
+    hot = materialise(marked.filter(f"df > {RARE}").groupBy("at", "n").agg(F.count("*").alias("hot")), "hot")
+    pairs = materialise(_pairs(marked, hot), "pairs")
+    crowd = hot.filter(F.expr(f"hot >= least({SHARED}, {_MOST})")).select("at")
+    met = pairs.select(F.col("la").alias("at")).unionByName(pairs.select(F.col("ea").alias("at")))
+    whole = _whole(docs, first.join(met.unionByName(crowd), "at", "left_semi"))
+    both = pairs.join(whole.alias("l"), F.expr("la = l.at")).join(whole.alias("e"), F.expr("ea = e.at"))
+    same = f"l.said <=> e.said AND {NUMERATOR + DENOMINATOR} * size(array_intersect(l.toks, e.toks)) >= {NUMERATOR} * (l.n + e.n)"
+    found = materialise(both.filter(F.expr(same)).select("l.at").distinct(), "found")
+    if crowd.isEmpty():
+        return found
+    left = whole.join(crowd, "at", "left_semi")
+    return found.unionByName(_matched(_shared_tokens(left))).distinct()
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, line_no) of every line with words that has an earlier match; row: xxhash64 of the text.
     Rows repeated whole give theirs as often."""
@@ -130,7 +180,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posts = materialise(_post(texts), "posts")
     at = F.struct("id", "line_no", "row")
     sets = materialise(posts.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c")), "sets")
-    gone = materialise_alone(lambda: _matched(_shared_tokens(texts, _candidates(posts, sets.select("h1", "h2", "first")))), docs.sparkSession, "matched")
+    gone = materialise_alone(lambda: _late(texts, posts), docs.sparkSession, "matched")
     # Lines of a set that has no earlier match stay at the set's first place alone.
     judged = sets.join(gone, F.col("first") == F.col("at"), "left").filter("c > 1 OR at IS NOT NULL")
     judged = judged.select("h1", "h2", "first", F.col("at").isNotNull().alias("late"))

@@ -778,6 +778,38 @@ def test_line_dedup_of_short_lines_against_sql(spark):
     assert_same(out, c.sql(op9_lines.ORACLE))
 
 
+@pytest.mark.parametrize("rare", [1, 2, 16])
+def test_line_dedup_of_rare_and_common_tokens_against_sql(spark, monkeypatch, rare):
+    """Near copies of one line, lines around one passage, and outer white space; at a bound of 1 no token is rare."""
+    import duckdb
+
+    r, rows = random.Random(rare), []
+    passage = [f"p{k}" for k in range(24)]
+    for i in range(40):
+        own = [f"u{i}x{k}" for k in range(r.randrange(3, 30))]
+        for _ in range(r.randrange(1, 5)):
+            line = [*own, *passage[: r.choice([0, 0, 9, 24])]]
+            line[r.randrange(len(line))] = f"z{len(rows)}" if r.random() < 0.5 else line[0]
+            edge = r.choice(["", " ", "\t", " \r"])
+            rows.append((len(rows), edge + " ".join(line) + edge + r.choice(["", "\n", "\n \n"]) + " ".join(passage)))
+    monkeypatch.setattr(op9_lines, "RARE", rare)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = op9_lines.dedup(df).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    assert_same(out, c.sql(op9_lines.ORACLE))
+
+
+def test_line_dedup_counts_all_tokens_of_lines_with_common_ones_alone(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("these lines share rare tokens only")
+
+    monkeypatch.setattr(op9_lines, "_shared_tokens", never)
+    rows = [(3 * i + k, " ".join(f"v{i}x{j}" for j in range(30 - k))) for i in range(20) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in op9_lines.dedup(df).collect()} == {i: int(i % 3 > 0) for i, _ in rows}
+
+
 # --- 10
 
 
