@@ -810,6 +810,23 @@ def test_line_dedup_counts_all_tokens_of_lines_with_common_ones_alone(spark, mon
     assert {r.doc_id: r.n_removed for r in op9_lines.dedup(df).collect()} == {i: int(i % 3 > 0) for i, _ in rows}
 
 
+def test_line_dedup_compares_places_of_copied_lines_and_verified_pairs_alone(spark, monkeypatch):
+    """Rows come in descending order of ids, so that lines are numbered against the order of their places."""
+    made = {}
+
+    def seen(frame, tag):
+        out = materialise(frame, tag)
+        made[tag] = (out.columns, out.count())
+        return out
+
+    monkeypatch.setattr(op9_lines, "materialise", seen)
+    lines = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(8)]
+    texts = [*lines, lines[0], lines[1] + " tail"]  # the last two: a copy, a near copy
+    df = spark.createDataFrame([(i, t) for i, t in reversed(list(enumerate(texts)))], "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in op9_lines.dedup(df).collect()} == {i: int(i > 7) for i in range(10)}
+    assert made["copies"][1] == 2 and made["marked"][0] == ["tok", "num", "n", "df"] and made["pairs"] == (["lnum", "enum"], 1)
+
+
 # --- 10
 
 
