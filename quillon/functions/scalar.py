@@ -9,10 +9,10 @@ _INF, _NAN = float("inf"), float("nan")
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Division of doubles: x/0 is an infinity and 0/0 is NaN, never an error."""
+    """Division of doubles: x/0 is an infinity whose sign is that of both, 0/0 and NaN/0 are NaN, never an error."""
     a, b = a.cast("double"), b.cast("double")
-    at_zero = F.when(a > 0, F.lit(_INF)).when(a < 0, F.lit(-_INF)).when(a.isNotNull(), F.lit(_NAN))
-    return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
+    # The power of -1 of a zero is the infinity of its sign.
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
 
 
 def modulo(a: Column, b: Column) -> Column:

@@ -41,6 +41,14 @@ def test_distinct_average_and_exact_discrete_percentiles(e, spark, tmp_path):
     assert "approx" not in e.query(sql)._jdf.queryExecution().toString()
 
 
+def test_division_by_zeros_of_both_signs(spark, duck):
+    sql = "SELECT a, b, a / b AS q, a / 0.0 AS z FROM d"
+    values = "(VALUES ('nan'), ('inf'), ('-inf'), ('1'), ('-1'), ('0'), ('-0'), (NULL)) {}"
+    rel = duck.sql(f"SELECT CAST(x.v AS DOUBLE) AS a, CAST(y.v AS DOUBLE) AS b FROM {values.format('x(v)')} CROSS JOIN {values.format('y(v)')}")
+    frame = spark.createDataFrame(rel.fetchall(), "a double, b double")
+    assert_same(Engine(spark).register("d", frame).query(sql), duck.query(sql.replace("FROM d", "FROM rel")))
+
+
 def test_counts_with_nulls(e):
     e.execute("CREATE TABLE n (id BIGINT, value DOUBLE) ORDER BY id")
     e.execute("INSERT INTO n VALUES (1,10),(2,20),(3,NULL),(4,30),(5,40)")
