@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import ColumnMismatch, PlanError, Unsupported
+from quillon.operators.sliding import slide
 from quillon.plans import ast as A
 from quillon.plans.expressions import Compiler, is_aggregate, walk
 
@@ -62,6 +63,9 @@ def run_select(df: DataFrame, q: A.Select, tie_break: list[str] | None = None) -
         raise PlanError("HAVING without groups")
     else:
         compiler = Compiler(df, tie_break=tie_break)
+    df, slid = slide(df, compiler, used)
+    if slid:
+        compiler = Compiler(df, compiler.known | slid, compiler.tie_break)
     names = output_names(items, df.columns)
     outs = [compiler.column(i.expr) for i in items]
     sorts = [compiler.column(o.expr) for o in order]

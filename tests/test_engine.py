@@ -49,6 +49,36 @@ def test_division_by_zeros_of_both_signs(spark, duck):
     assert_same(Engine(spark).register("d", frame).query(sql), duck.query(sql.replace("FROM d", "FROM rel")))
 
 
+FRAMES = ["3 PRECEDING AND CURRENT ROW", "CURRENT ROW AND 4 FOLLOWING", "2 PRECEDING AND 5 FOLLOWING", "CURRENT ROW AND CURRENT ROW", "6 PRECEDING AND 2 PRECEDING", "3 FOLLOWING AND 9 FOLLOWING", "5 PRECEDING AND 5 PRECEDING"]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_sliding_ranges(spark, duck, frame):
+    rng = random.Random(frame)
+    some = lambda f: None if rng.random() < 0.15 else f()
+    rows = [(i, some(lambda: rng.choice("ab")), some(lambda: rng.randint(-30, 30)), some(lambda: rng.randint(-9, 9) / 4)) for i in range(300)]
+    rows += [(300 + i, "a", k, v) for i, (k, v) in enumerate([(-31, float("nan")), (40, float("inf")), (41, float("-inf")), (42, 1.0)])]
+    schema = "id long, g string, k int, v double"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, k) AS ts", "CAST(k AS STRING) AS t")
+    values = ", ".join("({}, {}, {}, CAST({} AS DOUBLE))".format(*["NULL" if c is None else f"'{c}'" if isinstance(c, (str, float)) else c for c in r]) for r in rows)
+    rel = duck.sql(f"SELECT *, TIMESTAMP '1970-01-01' + to_seconds(k) AS ts, k AS t FROM (VALUES {values}) x(id, g, k, v)")  # noqa: F841
+    outs = ["COUNT(*) {}", "COUNT(v) {}", "MIN(v) {}", "MAX(v) {}", "SUM(k) {}", "SUM(v) {}", "SUM(v) FILTER (WHERE id < 300) {}", "BOOL_AND(k > 3) {}", "BOOL_OR(k > 3) {}", "ROUND(AVG(t) {}, 6)"]
+    outs += [f"ROUND({f}(v) FILTER (WHERE id < 300) {{}}, 6)" for f in ("AVG", "VAR_POP", "VAR_SAMP", "STDDEV_POP", "STDDEV_SAMP")]
+    timed = " AND ".join(b if b.startswith("CURRENT") else "INTERVAL '{} seconds' {}".format(*b.split()) for b in frame.split(" AND "))
+    for partition, order, bounds in [("PARTITION BY g", "k", frame), ("PARTITION BY g", "k DESC", frame), ("", "ts", timed), ("PARTITION BY g, k % 2", "ts DESC", timed)]:
+        over = f"OVER ({partition} ORDER BY {order} RANGE BETWEEN {bounds})"
+        sql = "SELECT id, " + ", ".join(f"{o.format(over)} AS c{n}" for n, o in enumerate(outs)) + " FROM "
+        got = Engine(spark).register("r", df).query(sql + "r")
+        assert_same(got, duck.query(sql + "rel"))
+        plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert 0 < plan.count("rangeframe, ") == plan.count("rangeframe, unboundedpreceding")
+
+
+def test_sliding_ranges_of_groups(spark, duck):
+    sql = "SELECT user_id, COUNT(*) AS n, SUM(COUNT(*)) OVER (ORDER BY user_id RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s FROM events GROUP BY user_id QUALIFY MAX(COUNT(*)) OVER (ORDER BY COUNT(*) RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) > 2 ORDER BY 2, 1"
+    assert_same(engine(spark, DATA, "events").query(sql), duck.sql(sql))
+
+
 def test_counts_with_nulls(e):
     e.execute("CREATE TABLE n (id BIGINT, value DOUBLE) ORDER BY id")
     e.execute("INSERT INTO n VALUES (1,10),(2,20),(3,NULL),(4,30),(5,40)")
