@@ -9,7 +9,7 @@ from conftest import DATA
 from quillon import cli
 from quillon.api import Engine
 from quillon.errors import ColumnMismatch, OperationFailed, ParseError, PlanError, TableNotFound, Unsupported, ValueMismatch
-from quillon.plans.catalogue import engine
+from quillon.plans.catalogue import engine, queries
 from quillon.streaming.windows import bucket_counts
 
 
@@ -79,6 +79,12 @@ def test_sliding_ranges_of_groups(spark, duck):
     assert_same(engine(spark, DATA, "events").query(sql), duck.sql(sql))
 
 
+@pytest.mark.parametrize("name", ["win_range_interval", "win_range_seconds", "win_sum_range"])
+def test_no_registered_range_is_added_up_row_by_row(spark, name):
+    plan = queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert 0 < plan.count("rangeframe, ") == plan.count("rangeframe, unboundedpreceding")
+
+
 def test_counts_with_nulls(e):
     e.execute("CREATE TABLE n (id BIGINT, value DOUBLE) ORDER BY id")
     e.execute("INSERT INTO n VALUES (1,10),(2,20),(3,NULL),(4,30),(5,40)")
