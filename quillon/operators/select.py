@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import ColumnMismatch, PlanError, Unsupported
@@ -12,6 +13,9 @@ from quillon.operators.sliding import slide
 from quillon.plans import ast as A
 from quillon.plans.expressions import Compiler, is_aggregate, walk
 
+#: Up to this OFFSET, without LIMIT, the rows to drop are found by the keys of the last of them; for more, Spark sorts all rows in one task.
+MOST_SKIPPED = 100_000
+
 
 def output_names(items: list[A.SelectItem], columns: list[str]) -> list[str]:
     names = []
@@ -72,6 +76,10 @@ def run_select(df: DataFrame, q: A.Select, tie_break: list[str] | None = None) -
     temp = [c.alias(f"__out_{k}") for k, c in enumerate(outs)] + [c.alias(f"__sort_{k}") for k, c in enumerate(sorts)]
     if qualify is not None:
         temp.append(compiler.column(qualify).alias("__qualify"))
+    told = bool(compiler.tie_break) and not q.distinct
+    if q.offset and told:
+        named = {o.expr.name.lower() for o in order if isinstance(o.expr, A.Ref)}
+        temp += [F.col(f"`{c}`").alias(f"__tie_{k}") for k, c in enumerate(compiler.tie_break) if c.lower() not in named]
     df = df.select(*temp)
     if qualify is not None:
         df = df.filter("__qualify")
@@ -81,19 +89,54 @@ def run_select(df: DataFrame, q: A.Select, tie_break: list[str] | None = None) -
         if None in places:
             raise Unsupported("DISTINCT ordered by a column that isn't selected")
         df = df.select(*final).distinct()
-        keys = [F.col(f"__out_{k}") for k in places]
+        keys = [f"__out_{k}" for k in places]
     else:
-        keys = [F.col(f"__sort_{k}") for k in range(len(order))]
+        keys = [f"__sort_{k}" for k in range(len(order))]
     if order:
-        df = df.orderBy(*[compiler.sort(o, c) for o, c in zip(order, keys, strict=True)])
+        sorts = [(c, o.ascending, compiler.nulls_first(o)) for o, c in zip(order, keys, strict=True)]
+        if q.offset and q.limit is None and q.offset <= MOST_SKIPPED:
+            df, sorts = _skip(df, sorts, q.offset, told)
+        df = df.orderBy(*[_sort(*s) for s in sorts])
     df = df.select(*final)
-    if q.offset:
+    if q.offset and (not order or q.limit is not None or q.offset > MOST_SKIPPED):
         df = df.offset(q.offset)
     if q.limit is not None:
         df = df.limit(q.limit)
     return df.toDF(*names)
 
 
+def _sort(name: str, ascending: bool, nulls_first: bool) -> Column:
+    c = F.col(name)
+    if ascending:
+        return c.asc_nulls_first() if nulls_first else c.asc_nulls_last()
+    return c.desc_nulls_first() if nulls_first else c.desc_nulls_last()
+
+
+def _skip(df: DataFrame, sorts: list[tuple[str, bool, bool]], n: int, told: bool) -> tuple[DataFrame, list[tuple[str, bool, bool]]]:
+    """The rows after the first n, in no order, and the sort keys that tell them. Only the first n rows' keys meet in one
+    task. Ties go by the table's key if it has one, else by the row's hash; what ties even so is dropped by number."""
+    ties = [c for c in df.columns if c.startswith("__tie_")]
+    if not told:
+        plain = [F.col(f.name) for f in df.schema.fields if f.name.startswith("__out_") and not re.search("map<|variant", f.dataType.simpleString())]
+        df, ties = df.withColumn("__hash", F.xxhash64(*plain) if plain else F.lit(0)), ["__hash"]
+    sorts = list(dict.fromkeys(sorts + [(c, True, False) for c in ties]))
+    names = list(dict.fromkeys(c for c, _, _ in sorts))
+    first = df.select(*names).orderBy(*[_sort(*s) for s in sorts]).limit(n)
+    edge = first.groupBy(*names).agg(F.count(F.lit(1)).alias("__dropped")).withColumn("__found", F.sum("__dropped").over(Window.partitionBy()))
+    edge = edge.orderBy(*[_sort(c, not up, not nulls) for c, up, nulls in sorts]).limit(1)
+    edge = edge.select(*[F.col(c).alias(f"__edge{c}") for c in names], "__dropped", "__found")
+    # With fewer than n rows in all, none is left.
+    both = df.crossJoin(F.broadcast(edge)).filter(F.col("__found") == n)
+    same, after = F.lit(True), F.lit(False)
+    for c, up, nulls in sorts:
+        a, b = F.col(c), F.col(f"__edge{c}")
+        beyond = F.coalesce(a > b if up else a < b, (a.isNotNull() & b.isNull()) if nulls else (a.isNull() & b.isNotNull()))
+        after, same = after | (same & beyond), same & a.eqNullSafe(b)
+    numbered = both.filter(same).withColumn("__number", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1))))
+    rest = both.filter(after).select(*df.columns).unionByName(numbered.filter("__number > __dropped").select(*df.columns))
+    return rest, sorts
+
+
 def _ordinal(e: A.Expr, count: int) -> bool:
     if not isinstance(e, A.Literal) or isinstance(e.value, bool) or not isinstance(e.value, int):
         return False

@@ -331,11 +331,14 @@ class Compiler:
     def sort(self, item: A.OrderItem, c: Column | None = None) -> Column:
         """Nulls come last going up and first going down, unless it is said."""
         c = self.column(item.expr) if c is None else c
-        first = item.nulls_first if item.nulls_first is not None else not item.ascending
+        first = self.nulls_first(item)
         if item.ascending:
             return c.asc_nulls_first() if first else c.asc_nulls_last()
         return c.desc_nulls_first() if first else c.desc_nulls_last()
 
+    def nulls_first(self, item: A.OrderItem) -> bool:
+        return item.nulls_first if item.nulls_first is not None else not item.ascending
+
     def window(self, e: A.Call) -> Column:
         over, name = e.over, e.name
         assert over is not None

@@ -85,6 +85,41 @@ def test_no_registered_range_is_added_up_row_by_row(spark, name):
     assert 0 < plan.count("rangeframe, ") == plan.count("rangeframe, unboundedpreceding")
 
 
+ORDERS = ["k", "k DESC, v", "v NULLS FIRST, id", "v DESC NULLS LAST, k DESC, id DESC", "g DESC, v, k NULLS FIRST"]
+
+
+@pytest.mark.parametrize("order", ORDERS)
+@pytest.mark.parametrize("key", [None, ["id"]])
+def test_offset_alone(spark, duck, order, key):
+    rng = random.Random(order)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3]), rng.choice([None, float("nan"), float("inf"), 0.0, -0.5, 2.0])) for i in range(200)]
+    e = Engine(spark).register("r", spark.createDataFrame(rows, "id long, g string, k int, v double").repartition(5), key)
+    keys = ", ".join(o.split()[0] for o in order.split(","))
+    for n in (1, 37, 150, 199, 200, 201):
+        got = [tuple(r) for r in e.query(f"SELECT id, {keys.replace(', id', '')} FROM r ORDER BY {order} OFFSET {n}").collect()]
+        # Ties may stand in any order, so keys are compared in order and rows as a set.
+        whole = [tuple(r) for r in e.query(f"SELECT id, {keys.replace(', id', '')} FROM r ORDER BY {order}").collect()]
+        assert [repr(r[1:]) for r in got] == [repr(r[1:]) for r in whole[n:]]
+        assert len({r[0] for r in got}) == len(got) == max(0, 200 - n)
+        assert {repr(r) for r in got} <= {repr(r) for r in whole}
+
+
+def test_offset_alone_with_copies_groups_and_distinct(spark, duck):
+    e = Engine(spark).register("r", spark.createDataFrame([(1, "x")] * 50 + [(2, "y")] * 3, "a long, b string"))
+    assert sorted(got(e, "SELECT a, b FROM r ORDER BY b OFFSET 20")) == [(1, "x")] * 30 + [(2, "y")] * 3
+    assert got(e, "SELECT b FROM r ORDER BY a DESC OFFSET 51") == [("x",)] * 2
+    assert got(e, "SELECT DISTINCT b FROM r ORDER BY b OFFSET 1") == [("y",)]
+    assert got(e, "SELECT a, COUNT(*) AS n FROM r GROUP BY a ORDER BY n OFFSET 1") == [(1, 50)]
+    assert got(e, "SELECT a FROM r WHERE a > 5 ORDER BY a OFFSET 1") == []
+    sql = "SELECT event_id, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events QUALIFY n > 2 ORDER BY ts DESC, event_id OFFSET 333"
+    assert_same(engine(spark, DATA, "events").query(sql), duck.sql(sql))
+
+
+def test_offset_alone_sorts_in_many_tasks(spark):
+    plan = queries()["offset_only"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan and "TakeOrderedAndProject(limit=1000" in plan
+
+
 def test_counts_with_nulls(e):
     e.execute("CREATE TABLE n (id BIGINT, value DOUBLE) ORDER BY id")
     e.execute("INSERT INTO n VALUES (1,10),(2,20),(3,NULL),(4,30),(5,40)")
